@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import pyarrow.fs
@@ -41,10 +42,15 @@ def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the Arrow batches given to Python workers by rows and bytes, as texts may be very long."""
+    """Readies Python workers: bounds their Arrow batches by rows and bytes, as texts may be very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, rows + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    # workers import this package by name; where it is on the driver's path only, they look there too
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    own = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in own:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in [*own, root] if p)
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
