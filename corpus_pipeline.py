@@ -1,15 +1,58 @@
-"""The corpus pipeline: its stages, from raw documents to packed sequences."""
+"""The corpus pipeline: its stages, from raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return the
+columns of documents. The language model, near-copy search, template windows, randomness tests and packing can't be
+said in SQL; ``tests/llm/test_pipeline.py`` holds each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from knotwork.llm import decontamination, jaccard_join, language_id, packing, secrets
+from knotwork.llm.common import table, written
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told."""
+    return language_id.known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, that with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a passage of the benchmark."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts, and counts their characters anew."""
+    return secrets.redacted(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' ids into sequences of 4096."""
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", languages),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_leaks),
+    ("secrets", secret_spans),
+    ("packing", sequences),
+]
+#: No SQL says these stages; see above.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

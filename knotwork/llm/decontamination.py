@@ -142,5 +142,6 @@ def _consistent(docs: DataFrame, enough: DataFrame, slots: DataFrame) -> DataFra
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of an item; all columns are kept. Rows without id stay,
     unless one of them holds a passage: they count as one document."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct()
+    bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct(), "leaks")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leaking_id"]), "left_anti")

@@ -291,3 +291,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = named.join(least, "root").select("sig", "component_id")
     shown = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(named, "sig", "left")
     return shown.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+#: Ids of rows to drop up to which they are broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without those linked, directly or through others, to one of a smaller doc_id; all columns are kept.
+    Of rows of equal doc_id one stays. Rows without shingles stay, as do rows without doc_id that no other row with
+    one is linked to."""
+    found = written(jaccard_components(docs), "components")
+    drop = found.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("dropped")).distinct()
+    drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["dropped"]), "left_anti")
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    return kept if again.isEmpty() else kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

@@ -110,25 +110,36 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[s
     return langs, table
 
 
+def predicted(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The language and the score of each text."""
+    total, has = np.zeros((len(texts), max(1, len(langs)))), np.zeros(len(texts), bool)
+    for of, group in sliced(texts):
+        grams, starts, some = features(group)
+        if langs:
+            s = table[grams[0]]
+            for g in grams[1:]:
+                s += table[g]
+            np.add.at(total, of, np.add.reduceat(s, starts, axis=0, dtype=np.float64))
+        np.logical_or.at(has, of, some)
+    score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+    known = has & bool(langs)
+    return [langs[k] if ok else "und" for k, ok in zip(total.argmax(1).tolist(), known.tolist())], np.where(known, score, 0.0)
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table = model.value
         for b in batches:
-            texts = b.column("text").to_pylist()
-            total, has = np.zeros((len(texts), max(1, len(langs)))), np.zeros(len(texts), bool)
-            for of, group in sliced(texts):
-                grams, starts, some = features(group)
-                if langs:
-                    s = table[grams[0]]
-                    for g in grams[1:]:
-                        s += table[g]
-                    np.add.at(total, of, np.add.reduceat(s, starts, axis=0, dtype=np.float64))
-                np.logical_or.at(has, of, some)
-            best = total.argmax(1)
-            score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            known = has & bool(langs)
-            pred = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in b.schema.names if c != "text"] + [pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names=[c for c in b.schema.names if c != "text"] + ["lang_pred", "score"])
+            pred, score = predicted(b.column("text").to_pylist(), *model.value)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    return run
+
+
+def _keep(model, least_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pred, score = predicted([t or "" for t in b.column("text").to_pylist()], *model.value)
+            yield b.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score.tolist())], pa.bool_()))
 
     return run
 
@@ -145,8 +156,18 @@ def identify(docs: DataFrame) -> DataFrame:
     counts. Null text or text without letters, or nothing to learn from: ``und`` and 0. Null doc_ids aren't held out.
     Repeated rows: a row each. No rows: no rows. Other columns are ignored.
     """
+    own, model = _learned(docs)
+    return own.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_score(model), "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def _learned(docs: DataFrame):
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = spark.sparkContext.broadcast(train(own.filter("not held_out and text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")))
-    return own.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_score(model), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return own, spark.sparkContext.broadcast(train(own.filter("not held_out and text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")))
+
+
+def known(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of at least ``least_score``; all columns are kept. Rows
+    without text or letters go."""
+    return docs.mapInArrow(_keep(_learned(docs)[1], least_score), docs.schema)

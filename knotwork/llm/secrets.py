@@ -34,6 +34,7 @@ ALPHABETS = {
 INDEX = {name: ({c: i for i, c in enumerate(a)}, frozenset(a)) for name, a in ALPHABETS.items()}
 #: Entropy in bits below which a string is too short to tell, the level of false discoveries, and bins of -log10 p.
 LEAST_BITS, LEVEL, BINS, PER_DECADE = 80, 0.05, 400, 20
+REDACTED = "[secret]"
 FOUND = "start int, end int, kind string, test string, p_bin int"
 SCAN = f"doc_id bigint, found array<struct<{FOUND.replace(' ', ':').replace(',:', ',')}>>"
 
@@ -167,24 +168,28 @@ def expected_base(text: str) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base_spans(text)).encode()).hexdigest()
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for t, spans in zip(b.column("text").to_pylist(), b.column("found").to_pylist()):
-            parts, at = [], 0
-            for s in spans or []:
-                if s["end"] > at:
-                    parts += [t[at : s["start"]], "[secret]"] if s["start"] >= at else []
-                    at = s["end"]
-            out.append(t if t is None else "".join([*parts, t[at:]]))
-        yield b.drop_columns(["text", "found"]).append_column("text", pa.array(out, pa.string()))
+def _redact(least: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                parts, at = [], 0
+                for start, end, _, test, p_bin in sorted(scanned(t), key=lambda s: s[:2]) if t else ():
+                    if test is not None and p_bin >= least[test]:
+                        continue
+                    if start >= at:
+                        parts += [t[at:start], REDACTED]
+                    at = max(at, end)
+                out.append(None if t is None else "".join([*parts, t[at:]]))
+            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+
+    return run
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs``, each span of its text replaced by ``[secret]``; a null text stays null. doc_ids are those of one row
-    each; all columns are kept."""
-    others = [c for c in docs.columns if c != "text"]
-    found = scan(docs).filter(F.size("found") > 0).withColumnRenamed("doc_id", "found_id")
-    joined = docs.join(found.dropDuplicates(["found_id"]), docs["doc_id"] == found["found_id"], "left").drop("found_id")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, "text"])
-    return joined.select(*others, "text", "found").mapInArrow(_redact, schema).select(*docs.columns)
+    """``docs`` with every span that ``scan`` finds replaced by ``REDACTED``, overlapping spans by one; a null text stays
+    null. All columns and rows are kept. The texts are scanned twice, so that no text has to be shuffled."""
+    seen = texts(docs).mapInArrow(_scan, SCAN)
+    tests = seen.select(F.explode("found").alias("f")).filter("f.test is not null").groupBy("f.test", "f.p_bin").count()
+    least = thresholds([tuple(r) for r in tests.collect()])
+    return docs.mapInArrow(_redact(least), docs.schema)
