@@ -1 +1 @@
-
+"""Streaming: the operators of this engine are batch fixpoints; there are no streaming ones."""
