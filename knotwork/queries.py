@@ -149,19 +149,20 @@ _on_edges("max_truss", trusses.max_truss, _LEVELS, _PEEL_T, True)
 _on_edges("truss_histogram", lambda e: trusses.truss_histogram(trusses.max_truss(e)), f"SELECT level, count(*) AS edges FROM ({_LEVELS}) GROUP BY 1", _PEEL_T, True)
 
 
-def _pattern_sql(q: Query, default: bool) -> str:
-    """Joins in the pattern's order; every tie is an edge row."""
-    label = lambda v: "" if default else f" AND a{v}.label = '{q.labels[v]}'"
+def _pattern_sql(q: Query, default: bool) -> tuple[str, str]:
+    """Select and tables: one materialised table for each further vertex of the pattern, as joins of all at once are
+    planned badly."""
+    label = lambda v, t: "" if default else f" AND {t}.label = '{q.labels[v]}'"
     first, *rest = q.order()
-    sql, placed = f"SELECT count(*) AS embeddings FROM lab a{first}", [first]
-    for v in rest:
+    more, placed = [f"m0 AS MATERIALIZED (SELECT id AS v{first} FROM lab WHERE true{label(first, 'lab')})"], [first]
+    for i, v in enumerate(rest):
         ties = [u for u in placed if q.joined(u, v)]
-        sql += f" JOIN s e{ties[0]}_{v} ON e{ties[0]}_{v}.src = a{ties[0]}.id JOIN lab a{v} ON a{v}.id = e{ties[0]}_{v}.dst{label(v)}"
+        sql = f"SELECT m.*, e{ties[0]}.dst AS v{v} FROM m{i} m JOIN s e{ties[0]} ON e{ties[0]}.src = m.v{ties[0]} JOIN lab ON lab.id = e{ties[0]}.dst{label(v, 'lab')}"
         for u in ties[1:]:
-            sql += f" JOIN s e{u}_{v} ON e{u}_{v}.src = a{u}.id AND e{u}_{v}.dst = a{v}.id"
+            sql += f" JOIN s e{u} ON e{u}.src = m.v{u} AND e{u}.dst = e{ties[0]}.dst"
+        more.append(f"m{i + 1} AS MATERIALIZED ({sql} WHERE {' AND '.join(f'm.v{u} <> e{ties[0]}.dst' for u in placed)})")
         placed.append(v)
-    apart = [f"a{u}.id <> a{v}.id" for i, u in enumerate(placed) for v in placed[i + 1 :]]
-    return f"{sql} WHERE {' AND '.join(apart)}{label(first)}"
+    return f"SELECT count(*) AS embeddings FROM m{len(rest)}", ", ".join(more)
 
 
 def _anchored_sql(q: Query) -> str:
@@ -179,7 +180,7 @@ def _anchored_sql(q: Query) -> str:
 for _name, _q in SAMPLES.items():
     _default = set(_q.labels.values()) == {"_"}
     _with = (lambda e: source.with_labels(graph.vertices(e))) if _default else _labels
-    _on_edges(f"pattern_{_name}", lambda e, q=_q, w=_with: patterns.count_embeddings(e, w(e), q), _pattern_sql(_q, _default))
+    _on_edges(f"pattern_{_name}", lambda e, q=_q, w=_with: patterns.count_embeddings(e, w(e), q), *_pattern_sql(_q, _default))
     if not _default:
         _on_edges(f"pattern_{_name}_anchored", lambda e, q=_q: patterns.anchored_count(e, _labels(e), q, slices(q)[0]), _anchored_sql(_q))
 _on_edges(
