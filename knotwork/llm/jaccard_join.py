@@ -173,8 +173,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(t: pa.Table) -> pa.Table:
-    """Pairs of one group between different components, but those of its first member, that may be linked. Goes
-    through the group in blocks of rows; emits only what the sizes and sketches allow."""
+    """Pairs between different components, but those of the first member, that may be linked, among all that share a
+    key with that member. Compares a row with all later ones at a time; emits only what sizes and sketches allow."""
     sig, n, root = (t.column(c).to_numpy() for c in ("sig", "n", "root"))
     order = np.argsort(sig, kind="stable")
     sig, n, root, raw = sig[order], n[order], root[order], t.column("sketch").take(pa.array(order)).to_pylist()
@@ -255,7 +255,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     the smallest doc_id reachable by links, where two rows link if 100 x intersection >= 75 x union.
 
     Rows of equal sets are one set from the start. Of the sets that share a key, first only pairs with one of them are
-    verified; then, in groups that aren't one component yet, the pairs between components. So groups of near copies
+    verified; then, among all that share a key with the same first set, the pairs between components. So groups of near copies
     cost in proportion to their size, and no link between components is missed.
 
     Null or empty text, or white space alone: no shingles, linked with nothing, component_id is the own doc_id. Fewer
@@ -279,11 +279,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stars = groups.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()
     first_links = _links(stars, ids, own)
     roots = written(components(first_links), "roots")
-    member = groups.filter(F.size("members") > 2).select("gid", F.explode("members").alias("sig"))
+    # near copies share many keys, and mostly the first member: all groups of one first member are gone through once
+    member = groups.filter(F.size("members") > 2).select(F.element_at("members", 1).alias("first"), F.explode("members").alias("sig")).distinct()
     rooted = member.join(roots.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    open_ = rooted.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid")
-    across = rooted.join(open_, "gid", "left_semi").join(ids.select("sig", "n", "sketch"), "sig").select("gid", "sig", "n", "root", "sketch")
-    pairs = written(across.groupBy("gid").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
+    open_ = rooted.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("first")
+    across = rooted.join(open_, "first", "left_semi").join(ids.select("sig", "n", "sketch"), "sig").select("first", "sig", "n", "root", "sketch")
+    pairs = written(across.groupBy("first").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
     links = first_links.unionByName(_links(pairs, ids, own)) if not pairs.isEmpty() else first_links
     final = written(components(links), "roots")
     named = ids.select("sig", "first").join(final.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
