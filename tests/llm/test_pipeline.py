@@ -8,7 +8,7 @@ from .helpers import prose
 
 def test_stages_do_what_they_say(spark, tmp_path):
     bench = prose(77, 30)
-    copy = prose(5, 60)
+    copy = prose(205, 60)
     rows = [(i, prose(i, 50), "en", "s", 0) for i in range(40)]
     rows += [(100, copy + " tail", "en", "s", 0), (101, copy, "en", None, 0), (102, "123 456", "en", "s", 0), (103, None, None, None, None), (104, f"{prose(8, 20)} {bench} {prose(9, 20)}", "en", "s", 0), (105, prose(6, 30) + " password=abcdef1234 end", None, "s", 0)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
