@@ -13,7 +13,8 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     conf = {
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
+        "spark.sql.codegen.wholeStage": "false",  # small tables: compiling would take longer than running
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "4g",
