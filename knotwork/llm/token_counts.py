@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import file_system, new_path, texts, written
 from .encoding import encoder, segments
 
 #: Text of one chunk, whose documents share one list of pre-tokens.
 CHUNK_BYTES = 24 << 20
-CHUNK = "chunk string, doc_id array<bigint>, n_bytes array<bigint>, starts array<int>, unit array<int>, freq array<int>, units array<string>"
+CHUNK = "chunk bigint, units array<string>"
 #: Splits a segment as the byte-level pre-tokenizer does. Used only below U+0250, where every Unicode version agrees.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 EXOTIC = re.compile("[^\x00-ɏ]")
@@ -33,45 +36,44 @@ def pre_tokens(segment: str, specials: tuple[str, ...], exact) -> list[str]:
     return PIECES.findall(segment)
 
 
-def _chunks(path: str):
+def _chunks(path: str, to: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         library = encoder(path).library
         specials = tuple(t.content for t in library.get_added_tokens_decoder().values())
         exact = library.pre_tokenizer.pre_tokenize_str
 
         def chunk(ids: list, sizes: list, docs: list[str]) -> pa.RecordBatch:
             number: dict[str, int] = {}
-            per_doc, ends = [], []
+            per_doc = []
             for t in docs:
                 cut = segments(t)
                 for s in cut:
                     if s not in number:
                         number[s] = len(number)
                 per_doc.append(np.fromiter(map(number.__getitem__, cut), np.int32, len(cut)))
-            units: dict[str, int] = {}
-            flat: list[int] = []
-            for s in number:
-                for p in pre_tokens(s, specials, exact) if s else ():
-                    flat.append(units.setdefault(p, len(units)))
-                ends.append(len(flat))
+            cut = [pre_tokens(s, specials, exact) if s else [] for s in number]
             del number
-            flat_a, end = np.array(flat, np.int32), np.array(ends, np.int64)
-            begin = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(end) else end
+            units = ["", *sorted(set(chain.from_iterable(cut)))]  # neighbours in order compress well; the first makes no list empty
+            at = {u: i for i, u in enumerate(units)}
+            flat = np.fromiter((at[p] for c in cut for p in c), np.int32)
+            end = np.cumsum([len(c) for c in cut], dtype=np.int64)
+            begin = end - np.array([len(c) for c in cut], np.int64)
             starts, unit, freq = [0], [], []
             for d in per_doc:
                 n = end[d] - begin[d]
-                at = np.repeat(begin[d] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(d) else np.zeros(0, np.int64)
-                u, f = np.unique(flat_a[at.astype(np.int64)], return_counts=True)
-                unit.append(u)
-                freq.append(f)
+                where = np.repeat(begin[d] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                u, f = np.unique(flat[where], return_counts=True)
+                unit.append(np.diff(u, prepend=np.int32(0)))
+                freq.append(f.astype(np.int32))
                 starts.append(starts[-1] + len(u))
-            one = lambda x, t: pa.array([x], pa.list_(t))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), one(ids, pa.int64()), one(sizes, pa.int64()), one(starts, pa.int32()), one(np.concatenate(unit), pa.int32()), one(np.concatenate(freq), pa.int32()), one(list(units), pa.string())],
-                names=["chunk", "doc_id", "n_bytes", "starts", "unit", "freq", "units"],
-            )
+            key = uuid.uuid4().int >> 65
+            table = pa.table({"unit": np.concatenate(unit), "freq": np.concatenate(freq)})
+            about = pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_units": np.diff(starts)})
+            fs, base = file_system(f"{to}/{key}")
+            fs.create_dir(base.rpartition("/")[0], recursive=True)
+            for name, t in (("units", table), ("docs", about)):
+                pq.write_table(t, f"{base}.{name}", filesystem=fs, compression="zstd", use_dictionary=False, column_encoding=dict.fromkeys(t.column_names, "DELTA_BINARY_PACKED"))
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([units], pa.list_(pa.string()))], names=["chunk", "units"])
 
         ids, sizes, docs, total = [], [], [], 0
         for b in batches:
@@ -101,33 +103,42 @@ def _count(path: str):
     return run
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in range(b.num_rows):
-            flat = lambda c, r=r: b.column(c).slice(r, 1).flatten()
-            found = flat("found")
-            pieces = np.zeros(len(found), np.int64)
-            pieces[found.field(0).to_numpy()] = found.field(1).to_numpy()
-            run = np.concatenate([[0], np.cumsum(pieces[flat("unit").to_numpy()] * flat("freq").to_numpy().astype(np.int64))])
-            starts = flat("starts").to_numpy()
-            yield pa.RecordBatch.from_arrays([flat("doc_id"), flat("n_bytes"), pa.array(run[starts[1:]] - run[starts[:-1]], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+def _sum(to: str):
+    def run(found: pa.Table) -> pa.Table:
+        """The counts of one chunk's documents, from its pre-tokens' pieces and its file of frequencies."""
+        pieces = np.zeros(len(found), np.int64)
+        pieces[found.column("pos").to_numpy()] = found.column("pieces").to_numpy()
+        fs, at = file_system(f"{to}/{found.column('chunk')[0].as_py()}")
+        docs, units = (pq.read_table(f"{at}.{name}", filesystem=fs) for name in ("docs", "units"))
+        ends = np.cumsum(docs.column("n_units").to_numpy())
+        step = units.column("unit").to_numpy().astype(np.int64)
+        unit = np.cumsum(step)
+        if len(ends) > 1:  # the steps begin anew in each document
+            before = np.concatenate([[0], unit])[np.concatenate([[0], ends[:-1]])]
+            unit = unit - np.repeat(before, np.diff(ends, prepend=0))
+        run = np.concatenate([[0], np.cumsum(pieces[unit] * units.column("freq").to_numpy())])
+        return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(np.diff(run[ends], prepend=0), pa.int64())})
+
+    return run
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, over: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each row of ``docs`` (doc_id, text), for a byte-level BPE file.
 
     The documents of a chunk (``CHUNK_BYTES`` of text) share one list of distinct pre-tokens; their frequencies stay
-    in the chunk. Only the lists are shuffled: each distinct pre-token of the corpus is given to the library once, and
-    its number of pieces is joined back. No ids are kept.
+    in a file of the chunk in the shared folder, named anew by each attempt. Only the lists are shuffled, once: each
+    distinct pre-token of the corpus is given to the library once, and its number of pieces is joined back to the
+    chunks. No ids are kept.
 
     Null or empty text: 0 bytes, 0 tokens, not over the limit. Null doc_ids and repeated rows are kept, one row out
     for each row in. No rows: no rows. Other columns of ``docs`` are ignored.
     """
-    chunks = written(texts(docs).mapInArrow(_chunks(tokenizer_path), CHUNK), "token-chunks")
-    units = chunks.select("chunk", F.posexplode("units").alias("pos", "pre_token"))
-    pieces = units.select("pre_token").distinct().mapInArrow(_count(tokenizer_path), "pre_token string, pieces int")
-    found = units.join(pieces, "pre_token").groupBy("chunk").agg(F.collect_list(F.struct("pos", "pieces")).alias("found"))
-    none = F.array().cast("array<struct<pos:int,pieces:int>>")
-    joined = chunks.drop("units").join(found, "chunk", "left").withColumn("found", F.coalesce("found", none))
-    counts = joined.select("doc_id", "n_bytes", "starts", "unit", "freq", "found").mapInArrow(_sum, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    to = new_path(docs.sparkSession, "token-frequencies")
+    chunks = written(texts(docs).mapInArrow(_chunks(tokenizer_path, to), CHUNK), "token-chunks")
+    units = chunks.select("chunk", F.posexplode("units").alias("pos", "pre_token")).repartition("pre_token")
+    # all columns are asked for, so that both sides of the join read one shuffle
+    distinct = units.groupBy("pre_token").agg(F.min("chunk").alias("chunk"), F.min("pos").alias("pos"))
+    pieces = distinct.mapInArrow(_count(tokenizer_path), "pre_token string, pieces int")
+    found = units.join(pieces, "pre_token").select("chunk", "pos", "pieces")
+    counts = found.groupBy("chunk").applyInArrow(_sum(to), "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return counts.withColumn("over_limit", F.col("n_tokens") > over)
