@@ -135,8 +135,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, over: int = 1024) -> Data
     """
     to = new_path(docs.sparkSession, "token-frequencies")
     chunks = written(texts(docs).mapInArrow(_chunks(tokenizer_path, to), CHUNK), "token-chunks")
-    units = chunks.select("chunk", F.posexplode("units").alias("pos", "pre_token")).repartition("pre_token")
-    # all columns are asked for, so that both sides of the join read one shuffle
+    units = chunks.select("chunk", F.posexplode("units").alias("pos", "pre_token")).filter("pre_token is not null").repartition("pre_token")
+    # all columns are asked for, and the join's own filter is there already: both its sides read one shuffle
     distinct = units.groupBy("pre_token").agg(F.min("chunk").alias("chunk"), F.min("pos").alias("pos"))
     pieces = distinct.mapInArrow(_count(tokenizer_path), "pre_token string, pieces int")
     found = units.join(pieces, "pre_token").select("chunk", "pos", "pieces")
