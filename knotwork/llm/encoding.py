@@ -18,9 +18,14 @@ import numpy as np
 #: A space or line feed beside other white space: such texts are cut by the stricter pattern.
 RUN = re.compile(r"[ \n]\s|\s[ \n]|\0")
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Marks at the end of a segment, after a letter, are tokens of their own.
+MARKS = ".,;:!?#%&*$"
 #: Segments a worker keeps. A full table takes no more; what it lacks is encoded each time it comes.
-KEPT = 700_000
+KEPT = 1_000_000
 AT_ONCE = 20_000
+#: Up to here every library agrees on letters and their cases.
+LATIN = "\u00ff"
+BEYOND = re.compile("[^\x00-\xff]")
 
 
 def segments(text: str) -> list[str]:
@@ -47,6 +52,7 @@ class Encoder:
         by_word = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and "\\s" in str(parts[0].get("pattern"))
         self.can_cut = bool(byte_level or by_word)
         self.strip = by_word and not byte_level
+        self.folds = self.strip and '"Lowercase"' in json.dumps(norm)
         self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
 
@@ -56,14 +62,31 @@ class Encoder:
         cut = segments(text)
         return [s.lstrip(" \n") for s in cut] if self.strip else cut
 
-    def _new(self, missing: list[str]) -> dict[str, bytes]:
+    def _library(self, some: list[str]) -> dict[str, bytes]:
         out = {}
-        for i in range(0, len(missing), AT_ONCE):
-            some = missing[i : i + AT_ONCE]
-            for s, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+        for i in range(0, len(some), AT_ONCE):
+            part = some[i : i + AT_ONCE]
+            for s, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
                 out[s] = np.array(e.ids, self.type).tobytes()
         return out
 
+    def _parts(self, segment: str) -> tuple[str, str]:
+        """A segment without the marks at its end, in lower case, and the marks."""
+        core = segment.rstrip(MARKS)
+        if len(core) == len(segment) or not core or not core[-1].isalpha() or core[-1] > LATIN:
+            core = segment
+        folded = core.lower() if not BEYOND.search(core) and "<|" not in core else core
+        return folded, segment[len(core) :]
+
+    def _new(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of new segments. If case is folded, the library gets each distinct core and run of marks."""
+        if not self.folds:  # where case counts, too few segments share a core
+            return self._library(missing)
+        parts, cache = [self._parts(s) for s in missing], self.cache
+        cores = self._library(list(set(filterfalse(cache.__contains__, chain.from_iterable(parts)))))
+        get = lambda s: cores[s] if s in cores else cache[s]
+        return cores | {s: get(a) + get(b) for s, (a, b) in zip(missing, parts)}
+
     def encode(self, texts: list[str]):
         """Yields one array of ids per text; texts are taken in groups of a few MB."""
         group, size = [], 0
