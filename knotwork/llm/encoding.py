@@ -102,15 +102,12 @@ class Encoder:
         cut = [self.of(t) for t in texts]
         cache, has = self.cache, self.cache.__contains__
         new = self._new(list(set(chain.from_iterable(filterfalse(has, c) for c in cut))))
-        if new and len(cache) + len(new) <= self.kept:
-            cache.update(new)
-            new = {}
+        cache.update(new)
         for c in cut:
-            if new:
-                ids = b"".join([cache[s] if s in cache else new[s] for s in c])
-            else:
-                ids = b"".join(map(cache.__getitem__, c))
-            yield np.frombuffer(ids, self.type)
+            yield np.frombuffer(b"".join(map(cache.__getitem__, c)), self.type)
+        if len(cache) > self.kept:
+            for s in new:
+                del cache[s]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -109,6 +109,9 @@ def crossover(into: Bins, giver: Bins, lengths: np.ndarray, rng: np.random.Gener
 def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray]) -> np.ndarray:
     """The bin of each item in the best packing found. Ends at once when no packing can use fewer bins."""
     least = -(-int(lengths.sum()) // capacity)
+    for e in elites:
+        if int(e.max(initial=-1)) + 1 <= least:
+            return e.astype(np.int32)
     rng = np.random.default_rng(seed)
     people: list[Bins] = []
     for e in elites:
