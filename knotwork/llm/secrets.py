@@ -19,8 +19,10 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
-#: A run that may be an encoded secret, and the alphabets that are tried on it, smallest first.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A run that may be an encoded secret, its parts if it mixes base64 and base64url, and the alphabets that are tried,
+#: smallest first.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
+PARTS = (re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"))
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
@@ -92,15 +94,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Where runs lie. One that mixes the two alphabets (a token in a URL's path, say) is none of either: it is split
+    at the characters of each in turn, so its parts may overlap."""
+    for m in RUN.finditer(text):
+        if ("+" in m[0] or "/" in m[0]) and ("-" in m[0] or "_" in m[0]):
+            yield from sorted(p.span() for part in PARTS for p in part.finditer(text, *m.span()))
+        else:
+            yield m.span()
+
+
 def scanned(text: str) -> list[tuple[int, int, str, str | None, int | None]]:
     """Base spans, and runs outside them with their test group and the bin of their p."""
     base = base_spans(text)
     out = [(*s, None, None) for s in base]
-    for m in RUN.finditer(text):
-        if (e := inferred(m[0])) and not any(s <= m.start() and m.end() <= t for s, t, _ in base):
-            body = m[0].rstrip("=")
+    for start, end in runs(text):
+        run = text[start:end]
+        if (e := inferred(run)) and not any(s <= start and end <= t for s, t, _ in base):
+            body = run.rstrip("=")
             p = max(battery(body, e), 1e-300)
-            out.append((m.start(), m.end(), "random", f"{e}-{length_class(len(body))}", min(BINS - 1, int(-math.log10(p) * PER_DECADE))))
+            out.append((start, end, "random", f"{e}-{length_class(len(body))}", min(BINS - 1, int(-math.log10(p) * PER_DECADE))))
     return out
 
 
@@ -137,6 +150,8 @@ def scan(docs: DataFrame) -> DataFrame:
     unless the battery tells it from a uniformly random string of the smallest alphabet that holds it; that decision
     controls false discoveries over the whole corpus within each alphabet and length class, so that short strings,
     of which little can be told, aren't judged by what long ones show. Runs under ``LEAST_BITS`` are never judged.
+    A value after '=' is a run of its own; a run that mixes base64 and base64url is judged by parts, whose spans may
+    overlap.
     The corpus gives one count for each group and bin.
 
     Null or empty text: no spans. Null doc_ids and repeated rows: a row each. No rows: no rows. Other columns are

@@ -45,6 +45,25 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert sum(c["text"] == "text [secret] end" for c in clean) >= 54
 
 
+def test_values_after_equals_signs_and_in_paths_are_runs(spark):
+    r = random.Random(5)
+    value = lambda: "".join(r.choice(secrets.ALPHABETS["base62"]) for _ in range(40))
+    cases = []
+    for i in range(30):
+        v = value()
+        u = value()[:20] + "_" + value()[:20]
+        padded = base64.b64encode(r.randbytes(31)).decode()
+        cases += [(i, f"AWS_ACCESS_KEY={v}\nX=1", v), (100 + i, f"https://x.y/?sig={v}&x=1", v), (200 + i, f"https://x.y/files/{u}", u), (300 + i, f"A_KEY={padded}", padded), (400 + i, f"https://x.y/?{v}=1", v)]
+    docs = [(i, t) for i, t, _ in cases]
+    found = {d["doc_id"]: {(s["start"], s["end"]) for s in d["found"]} for d in secrets.scan(table(spark, docs)).collect()}
+    clean = dict(rows(secrets.redacted(table(spark, docs)), "doc_id", "text"))
+    for kind in range(5):
+        own = [c for c in cases if c[0] // 100 == kind]
+        assert sum((t.index(v), t.index(v) + len(v)) in found[i] for i, t, v in own) >= 27
+        assert sum(v not in clean[i] for i, _, v in own) >= 27
+    assert list(secrets.runs("a" * 16 + "=" + "b" * 16 + "==")) == [(0, 16), (17, 35)]
+
+
 def test_battery_is_even_for_random_text():
     r = random.Random(2)
     p = [secrets.battery("".join(r.choice(secrets.ALPHABETS["hex"]) for _ in range(40)), "hex") for _ in range(300)]
