@@ -29,13 +29,19 @@ NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 #: A capital within a sentence. Begins with what is rare, as it is sought in whole texts.
 INNER_CAPITAL = r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{Nd}],? )"
 
+#: Letters of scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han), and a cheap class around them.
+UNSPACED = r"([[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}]&&\p{L}]\p{M}*+)"
+MAYBE_UNSPACED = r"[\u0e00-\u109f\u1780-\u17ff\u3040-\x{3ffff}]"
+
 
 def raw_tokens(text: Column) -> Column:
     """Runs of letters, marks and digits, in lower case. A capital within a sentence gets a leading mark; a number
-    with separators is one token."""
+    with separators is one token, and so is each letter of scripts without spaces between words."""
     named = F.regexp_replace(text, INNER_CAPITAL, " \u0002")
     joined = F.when(named.rlike("[0-9]"), F.regexp_replace(named, r"(?<=\p{Nd})[.,](?=\p{Nd})", "")).otherwise(named)
-    return F.array_remove(F.split(F.lower(joined), r"[^\p{L}\p{M}\p{Nd}\x02]+"), "")
+    other = (F.octet_length(text) > F.length(text)) & text.rlike(MAYBE_UNSPACED)
+    spaced = F.when(other, F.regexp_replace(joined, UNSPACED, " $1 ")).otherwise(joined)
+    return F.array_remove(F.split(F.lower(spaced), r"[^\p{L}\p{M}\p{Nd}\x02]+"), "")
 
 
 def has_slots(text: Column) -> Column:
@@ -62,6 +68,17 @@ def window_hashes(tokens: Column) -> Column:
     return let(halves, lambda h: F.transform(starts(h, half), lambda x, i: F.xxhash64(x, F.get(h, i + half))))
 
 
+def short_hashes(tokens: Column, width: int) -> Column:
+    """The hash of each window of ``width`` tokens, fewer than ``WINDOW``."""
+    starts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (width - 1), F.lit(0)))
+    return F.transform(starts, lambda t, i: F.xxhash64(t, *(F.get(tokens, i + k) for k in range(1, width))))
+
+
+def unmarked(tokens: Column) -> Column:
+    """The values of tokens, without the marks of capitals."""
+    return F.transform(tokens, lambda t: F.translate(t, "\u0002", ""))
+
+
 def is_slot(t: Column) -> Column:
     return t.isin(NUMBER, NAME, UNIT)
 
@@ -76,6 +93,14 @@ def _tokens(table: DataFrame, key: str, also: Callable[[Column], list[Column]])
     return table.select(key, made.alias("made")).select(key, "made.*")
 
 
+def _windows_of(tokens: Column) -> Column:
+    """The hashes of an item's windows; one for an item of fewer than ``WINDOW`` tokens."""
+    shorter = F.lit(None).cast("array<bigint>")
+    for n in range(1, WINDOW):
+        shorter = F.when(F.size(tokens) == n, short_hashes(tokens, n)).otherwise(shorter)
+    return F.when(F.size(tokens) >= WINDOW, window_hashes(tokens)).otherwise(shorter)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least_windows: int = LEAST_WINDOWS) -> DataFrame:
     """One row for each document and item of which it holds a passage: ``doc_id, item_id, n_windows, item_windows,
     n_slots, reparameterised``.
@@ -85,26 +110,58 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_windows: int = LEAST_WIND
     the item, the document's values in those slots are equal too. ``n_slots``: slots compared; ``reparameterised``:
     some have another value than the item's. The best alignment counts.
 
-    Items of fewer than ``WINDOW`` tokens have no windows and are never found. Null or empty texts: none. Null item
-    ids are ignored; documents without id count as one document. Repeated rows, of documents or items, change nothing.
-    Empty tables: no rows. Other columns are ignored.
+    A window with fewer than ``LEAST_LITERAL`` literal tokens says nothing as a template and is sought by its values.
+    Its item is also held if those and the other windows together are enough. An item of fewer than ``WINDOW`` tokens is
+    one window, sought by its values and, with enough literals, as a template.
+
+    Null or empty texts: none. Null item ids are ignored; documents without id count as one document. Repeated rows, of
+    documents or items, change nothing. Empty tables: no rows. Other columns are ignored.
     """
     items = _plain(benchmark, "item_id").filter("item_id is not null")
 
     def of_item(t: Column) -> list[Column]:
-        return [t.alias("raw"), let(template(t), lambda x: F.struct(x.alias("typed"), window_hashes(x).alias("windows"))).alias("w")]
-
-    item_tokens = written(_tokens(items, "item_id", of_item).select("item_id", "raw", "w.typed", "w.windows"), "item-tokens")
-    literal = F.size(F.filter(F.slice("typed", F.col("item_pos") + 1, F.lit(WINDOW)), lambda t: ~is_slot(t)))
-    windows = item_tokens.select("item_id", "typed", F.posexplode("windows").alias("item_pos", "hash")).filter(literal >= LEAST_LITERAL).select("hash", "item_id", "item_pos").distinct()
-    windows = written(windows, "item-windows")
-    n_items = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
+        plain = let(unmarked(t), lambda x: F.struct(_windows_of(x).alias("values"), F.size(x).alias("n")))
+        heads = lambda x: F.array(*(F.get(_windows_of(F.concat(F.array(F.lit(k)), F.slice(x, 2, WINDOW - 1))), 0) for k in (NAME, UNIT)))
+        typed = let(template(t), lambda x: F.struct(x.alias("typed"), _windows_of(x).alias("windows"), heads(x).alias("heads")))
+        return [t.alias("raw"), typed.alias("w"), plain.alias("p")]
+
+    item_tokens = written(_tokens(items, "item_id", of_item).select("item_id", "raw", "w.*", "p.*"), "item-tokens")
+    width = F.least(F.lit(WINDOW), F.col("n"))
+    literal = F.size(F.filter(F.slice("typed", F.col("item_pos") + 1, width), lambda t: ~is_slot(t)))
+    at = item_tokens.select("item_id", "typed", "values", "n", F.posexplode("windows").alias("item_pos", "hash")).withColumn("telling", literal >= LEAST_LITERAL)
+    columns = ("item_id", "item_pos", width.alias("width"))
+    by_template = at.filter("telling").select("hash", *columns, F.lit(False).alias("exact"))
+    # within a document's sentence or after a number, an item's first word may be a name or a unit
+    first = F.get("typed", F.lit(0))
+    rest = F.size(F.filter(F.slice("typed", 2, WINDOW - 1), lambda t: ~is_slot(t)))
+    as_head = item_tokens.filter((F.col("n") > 0) & ~is_slot(first) & (rest >= LEAST_LITERAL)).withColumn("item_pos", F.lit(0))
+    kinds = F.filter(F.arrays_zip("heads", F.array(F.lit(NAME), F.lit(UNIT)).alias("kind")), lambda h: (h["kind"] == NAME) | first.isin(UNITS))
+    by_template = by_template.union(as_head.withColumn("hash", F.explode(F.transform(kinds, lambda h: h["heads"]))).select("hash", *columns, F.lit(False).alias("exact")))
+    by_value = at.filter(~F.col("telling") | (F.col("n") < WINDOW)).select(F.get("values", F.col("item_pos")).alias("hash"), *columns, F.lit(True).alias("exact"))
+    windows = written(by_template.union(by_value).distinct(), "item-windows")
+    n_items = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(F.expr("if(exact, null, item_pos)")).alias("item_templates"))
     small = windows.count() <= BROADCAST_ROWS
     right = F.broadcast(windows) if small else windows
-    hashes = _tokens(_plain(docs, "doc_id"), "doc_id", lambda t: [let(F.when(has_slots(F.col("text")), template(t)).otherwise(t), window_hashes).alias("windows")])
-    met = hashes.select("doc_id", F.posexplode("windows").alias("pos", "hash")).join(right, "hash").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos")
-    aligned = met.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_pos").alias("n_windows"))
-    enough = aligned.join(n_items, "item_id").filter(F.col("n_windows") >= F.least(F.lit(least_windows), F.col("item_windows")))
+    by_values = sorted(r["width"] for r in windows.filter("exact").select("width").distinct().collect())
+
+    def of_text(t: Column) -> list[Column]:
+        """Documents' windows as templates, and by value in the widths that the benchmark has."""
+
+        def lists(s: Column) -> Column:
+            long = [window_hashes(s["typed"]), *([window_hashes(s["plain"])] if WINDOW in by_values else [])]
+            short = [short_hashes(s[k], n) for n in by_values if n < WINDOW for k in ("plain", "typed") if k == "plain" or n > LEAST_LITERAL]
+            return F.array(*long, *short)
+
+        typed = F.when(has_slots(F.col("text")), template(t)).otherwise(t)
+        return [let(F.struct(typed.alias("typed"), *([unmarked(t).alias("plain")] if by_values else [])), lists).alias("lists")]
+
+    hashes = _tokens(_plain(docs, "doc_id"), "doc_id", of_text).select("doc_id", F.explode("lists").alias("windows"))
+    met = hashes.select("doc_id", F.posexplode("windows").alias("pos", "hash")).join(right, "hash").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "exact")
+    aligned = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"), F.size(F.collect_set(F.expr("if(exact, null, item_pos)"))).alias("n_templates"))
+    least = lambda n: F.least(F.lit(least_windows), n)
+    held = ((F.col("n_templates") > 0) & (F.col("n_templates") >= least(F.col("item_templates")))) | (F.col("n_windows") >= least(F.col("item_windows")))
+    enough = aligned.withColumn("n_windows", F.size("at").cast("long")).join(n_items, "item_id").filter(held)
+    enough = enough.select("doc_id", "item_id", "shift", "n_windows", "item_windows")
     enough = written(enough, "alignments")
     slots = item_tokens.select("item_id", "raw", F.posexplode("typed").alias("item_pos", "type")).filter(is_slot(F.col("type"))).select("item_id", "item_pos", "type", F.get("raw", F.col("item_pos")).alias("value")).distinct()
     if slots.isEmpty():

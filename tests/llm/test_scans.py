@@ -123,6 +123,20 @@ def test_leaks(spark):
     assert decontamination.leaks(table(spark, docs), table(spark, [], "item_id bigint, text string")).collect() == []
 
 
+def test_items_without_template_windows_are_found_by_value(spark):
+    sums = "12 + 34 = 46, 7 * 8 = 56, 90 - 5 = 85, 3 + 4 = 7, 81 / 9 = 9"
+    han = "\u4eca\u5929\u7684\u5929\u6c14\u5f88\u597d\u6211\u4eec\u4e00\u8d77\u53bb\u516c\u56ed\u73a9\u5427"
+    bench = table(spark, [(1, "Paris is in which land"), (2, sums), (3, han), (4, "Anna buys 5 red balls cheaply"), (5, "2 + 2"), (6, "")], "item_id bigint, text string")
+    docs = [
+        (1, "they asked Paris is in WHICH land, didn't they"), (2, f"{prose(1, 30)} {sums} {prose(2, 30)}"), (3, sums.replace("46", "47").replace("56", "57").replace("85", "86")), (4, f"\u6211\u8bf4{han}\u4ed6\u8bf4"), (5, "then Anna buys 9 red balls cheaply"),
+        (6, "1 + 1, 2 + 3, 12 + 2"), (7, "so 2 + 2 is"), (8, "Paris is in that land"), (9, prose(3, 400)),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.leaks(table(spark, docs), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 3), (5, 4), (7, 5)}
+    assert got[5, 4]["reparameterised"] and not got[2, 2]["reparameterised"]
+    assert decontamination.without_leaks(table(spark, docs), bench).count() == 4
+
+
 def test_leaks_by_brute_force(spark):
     """Every 8-token window of literal items, on real tables."""
     word = re.compile(r"[^\W_]+")
