@@ -107,8 +107,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_windows: int = LEAST_WIND
 
     A document holds an item if at least ``least_windows`` of the item's windows, or all if it has fewer, stand in the
     document in the item's own order and distances (one alignment) and the slots agree: where a value occurs again in
-    the item, the document's values in those slots are equal too. ``n_slots``: slots compared; ``reparameterised``:
-    some have another value than the item's. The best alignment counts.
+    the item, the document's values in those slots are equal too, or enough windows have the item's own values. Only slots
+    inside windows that met count. ``n_slots``: slots compared; ``reparameterised``: some have another value than the
+    item's. The best alignment counts.
 
     A window with fewer than ``LEAST_LITERAL`` literal tokens says nothing as a template and is sought by its values.
     Its item is also held if those and the other windows together are enough. An item of fewer than ``WINDOW`` tokens is
@@ -139,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_windows: int = LEAST_WIND
     by_template = by_template.union(as_head.withColumn("hash", F.explode(F.transform(kinds, lambda h: h["heads"]))).select("hash", *columns, F.lit(False).alias("exact")))
     by_value = at.filter(~F.col("telling") | (F.col("n") < WINDOW)).select(F.get("values", F.col("item_pos")).alias("hash"), *columns, F.lit(True).alias("exact"))
     windows = written(by_template.union(by_value).distinct(), "item-windows")
-    n_items = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(F.expr("if(exact, null, item_pos)")).alias("item_templates"))
+    n_items = windows.groupBy("item_id").agg(F.min("width").alias("width"), F.countDistinct("item_pos").alias("item_windows"), F.countDistinct(F.expr("if(exact, null, item_pos)")).alias("item_templates"))
     small = windows.count() <= BROADCAST_ROWS
     right = F.broadcast(windows) if small else windows
     by_values = sorted(r["width"] for r in windows.filter("exact").select("width").distinct().collect())
@@ -161,19 +162,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_windows: int = LEAST_WIND
     least = lambda n: F.least(F.lit(least_windows), n)
     held = ((F.col("n_templates") > 0) & (F.col("n_templates") >= least(F.col("item_templates")))) | (F.col("n_windows") >= least(F.col("item_windows")))
     enough = aligned.withColumn("n_windows", F.size("at").cast("long")).join(n_items, "item_id").filter(held)
-    enough = enough.select("doc_id", "item_id", "shift", "n_windows", "item_windows")
+    enough = enough.select("doc_id", "item_id", "shift", "at", "width", "n_windows", "item_windows")
     enough = written(enough, "alignments")
     slots = item_tokens.select("item_id", "raw", F.posexplode("typed").alias("item_pos", "type")).filter(is_slot(F.col("type"))).select("item_id", "item_pos", "type", F.get("raw", F.col("item_pos")).alias("value")).distinct()
     if slots.isEmpty():
         checked = enough.withColumn("n_slots", F.lit(0).cast("long")).withColumn("reparameterised", F.lit(False))
     else:
-        checked = _consistent(docs, enough, slots)
+        checked = _consistent(docs, enough, slots, least_windows)
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("n_windows"), "reparameterised", "shift")
     return checked.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "reparameterised")
 
 
-def _consistent(docs: DataFrame, enough: DataFrame, slots: DataFrame) -> DataFrame:
-    """Adds to alignments the number of slots compared and whether they were changed; drops those that don't agree."""
+def _consistent(docs: DataFrame, enough: DataFrame, slots: DataFrame, least_windows: int) -> DataFrame:
+    """Adds to alignments the number of slots compared, those inside windows that met, and whether they were changed;
+    drops those that don't agree, unless enough of their windows have the item's own values."""
     found = enough.join(slots.select("item_id").distinct(), "item_id", "left_semi").select("doc_id").distinct()
     few = found.count() <= BROADCAST_ROWS
     ids = found.withColumnRenamed("doc_id", "found_id")
@@ -185,15 +187,20 @@ def _consistent(docs: DataFrame, enough: DataFrame, slots: DataFrame) -> DataFra
         return [F.filter(typed, lambda s: is_slot(s["type"])).alias("slots")]
 
     theirs = _tokens(texts, "doc_id", of_doc).select("doc_id", F.explode("slots").alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.type").alias("type"), F.col("s.value").alias("their")).distinct()
-    asked = enough.join(slots, "item_id").select("doc_id", "item_id", "shift", "type", "value", (F.col("item_pos") + F.col("shift")).alias("pos"))
+    inside = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("width") - 1))))
+    asked = enough.select("doc_id", "item_id", "shift", F.explode(inside).alias("item_pos")).join(slots, ["item_id", "item_pos"]).select("doc_id", "item_id", "shift", "type", "value", "item_pos", (F.col("item_pos") + F.col("shift")).alias("pos"))
     a, b = asked.alias("a"), theirs.alias("b")
-    pairs = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.type") == F.col("b.type"))).select("a.doc_id", "item_id", "shift", "a.type", "value", "their")
-    by_value = pairs.groupBy("doc_id", "item_id", "shift", "type", "value").agg(F.count("*").alias("n"), (F.min("their") == F.max("their")).alias("one"), F.min("their").alias("their"))
-    verdict = by_value.groupBy("doc_id", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.bool_and("one").alias("agree"), F.bool_or(F.col("their") != F.col("value")).alias("changed"))
+    pairs = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.type") == F.col("b.type"))).select("a.doc_id", "item_id", "shift", "a.type", "value", "their", "item_pos")
+    other = F.collect_set(F.when(F.col("their") != F.col("value"), F.col("item_pos"))).alias("other")
+    by_value = pairs.groupBy("doc_id", "item_id", "shift", "type", "value").agg(F.count("*").alias("n"), (F.min("their") == F.max("their")).alias("one"), other)
+    verdict = by_value.groupBy("doc_id", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.bool_and("one").alias("agree"), F.flatten(F.collect_list("other")).alias("other"))
     e, v = enough.alias("e"), verdict.alias("v")
     on = F.col("e.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("e.item_id") == F.col("v.item_id")) & (F.col("e.shift") == F.col("v.shift"))
-    joined = e.join(v, on, "left").filter(F.coalesce("v.agree", F.lit(True)))
-    return joined.select("e.*", F.coalesce("v.n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("v.changed", F.lit(False)).alias("reparameterised"))
+    touched = F.array_distinct(F.flatten(F.transform("v.other", lambda p: F.sequence(p - F.col("e.width") + 1, p))))
+    own = F.size(F.array_except("e.at", touched))
+    joined = e.join(v, on, "left").filter(F.coalesce("v.agree", F.lit(True)) | (own >= F.least(F.lit(least_windows), F.col("e.item_windows"))))
+    joined = joined.withColumn("changed", F.size("v.other") > 0)
+    return joined.select("e.*", F.coalesce("v.n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("changed", F.lit(False)).alias("reparameterised"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

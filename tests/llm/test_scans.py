@@ -137,6 +137,17 @@ def test_items_without_template_windows_are_found_by_value(spark):
     assert decontamination.without_leaks(table(spark, docs), bench).count() == 4
 
 
+def test_slots_outside_matched_windows_are_not_compared(spark):
+    start, end = "the old farmer sold 12 brown cows at the market in town that day", "and he bought 12 sheep from his good neighbour who lived on a hill"
+    bench = table(spark, [(1, f"{start} {end}")], "item_id bigint, text string")
+    own = "but we saw 40 birds over the quiet lake until night fell on us"
+    docs = [(1, f"{start} {own}"), (2, f"{start} {end}".replace("12 sheep", "13 sheep")), (3, f"{start} {end}".replace("12", "30")), (4, f"{start} {end}".replace("12 brown", "31 brown").replace("12 sheep", "32 sheep"))]
+    got = {r["doc_id"]: r for r in decontamination.leaks(table(spark, docs), bench).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert (got[1]["n_slots"], got[1]["reparameterised"]) == (1, False)
+    assert got[2]["n_slots"] == 2 and got[3]["reparameterised"]
+
+
 def test_leaks_by_brute_force(spark):
     """Every 8-token window of literal items, on real tables."""
     word = re.compile(r"[^\W_]+")
