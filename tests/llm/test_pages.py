@@ -39,6 +39,25 @@ def test_main_text(spark):
     assert html_extract.extract(table(spark, [], COLUMNS)).collect() == []
 
 
+def test_article_text_is_not_taken_for_template(spark):
+    def pages(host, bodies, same_url=False):
+        return [(i, f"https://{host}/{0 if same_url else i}", f"<body><article>{b}</article></body>") for i, b in enumerate(bodies)]
+
+    def got(p):
+        return dict(rows(html_extract.extract(table(spark, p, COLUMNS)), "page_id", "text"))
+
+    alike = prose(1, 80)
+    long = [f"{alike} {prose(i, 30)}" for i in range(2, 9)]
+    assert got(pages("a", [f"<div>{t}</div>" for t in long])) == dict(enumerate(long))
+    assert got(pages("b", ["<div>one page</div>"] * 6)) == dict.fromkeys(range(6), "one page")
+    assert got(pages("c", ["<div>one page</div>"] * 6 + ["<div>one page</div><p>x</p>"], same_url=True))[0] == "one page"
+    own = [prose(i, 30) for i in range(8)]
+    assert got(pages("d", [f"<div>same box</div><p>p{i}</p><div>{t}</div>" for i, t in enumerate(own)])) == {i: f"p{i} {t}" for i, t in enumerate(own)}
+    many = "".join(f"<h3>h</h3><p>q{k}</p>" for k in range(150))
+    w = html_extract.aligned(html_extract.tree(many).kids, html_extract.tree("<div>only here</div>").kids)
+    assert all(n.lo == 0 for n in w)
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     a, b = (html_extract.tree(f"<body><div><p>x{k}</p>{extra}</div></body>") for k, extra in ((1, "<p>y</p>"), (2, "<table><tr><td>1</table>")))
     w = html_extract.merged(a, b, False)
