@@ -1,6 +1,7 @@
 """The registered queries of the graph operators, each with its SQL for DuckDB.
 
-The graph is that of parts ordered together in quantities of 40 or more; labels are A to E by part number.
+The graph is that of parts ordered together in quantities of 40 or more; labels are A to E by part number. A query of
+edges alone is also registered with ``full_`` before its name, on the graph of all rows and without SQL.
 """
 
 from __future__ import annotations
@@ -65,8 +66,10 @@ def _labels(e: DataFrame) -> DataFrame:
 
 
 def _on_edges(name: str, f: Callable[[DataFrame], DataFrame], select: str | None, more: str = "", recursive: bool = False) -> None:
-    """A query of the edges alone. They are written once, as most operators read them several times."""
+    """A query of the edges alone, and the same on the full graph. They are written once, as most operators read them
+    several times."""
     query(name, select, more, recursive)(lambda spark, sf_dir: f(written(_edges(spark, sf_dir))))
+    query(f"full_{name}")(lambda spark, sf_dir: f(written(source.co_occurrence(spark, sf_dir, None))))
 
 
 def _joined(column: str) -> F.Column:

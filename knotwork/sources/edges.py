@@ -40,9 +40,11 @@ def edges_from_parquet(spark: SparkSession, path: str, src: str = "src", dst: st
     return spark.read.parquet(path).select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).filter("src <> dst")
 
 
-def co_occurrence(spark: SparkSession, sf_dir: str, least_quantity: float = 40, item: str = "l_partkey", group: str = "l_orderkey") -> DataFrame:
-    """Canonical edges between items of one order: by default parts of which at least 40 were ordered together."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_quantity") >= least_quantity).select(F.col(group).alias("g"), F.col(item).alias("v")).distinct()
+def co_occurrence(spark: SparkSession, sf_dir: str, least_quantity: float | None = 40, item: str = "l_partkey", group: str = "l_orderkey") -> DataFrame:
+    """Canonical edges between items of one order: by default parts of which at least 40 were ordered together,
+    without ``least_quantity`` those of all rows."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = (li if least_quantity is None else li.filter(F.col("l_quantity") >= least_quantity)).select(F.col(group).alias("g"), F.col(item).alias("v")).distinct()
     return li.alias("a").join(li.alias("b"), "g").filter("a.v < b.v").select(F.col("a.v").alias("src"), F.col("b.v").alias("dst")).distinct()
 
 
