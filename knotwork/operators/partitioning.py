@@ -14,10 +14,11 @@ def part_sizes(parts: DataFrame) -> DataFrame:
     return parts.groupBy("pid").agg(F.count("*").alias("vertices"))
 
 
-def seeds(edges: DataFrame, n_parts: int, ignore_highest: int = 1, seed: int = 0) -> DataFrame:
+def _seeds(all_degrees: DataFrame, parts: list[int], ignore_highest: int, seed: int) -> DataFrame:
     """``id, pid, power``: the vertices of the degree band below the ``ignore_highest`` highest distinct degrees, wide
-    enough to hold one vertex for each part, each with a part by hash."""
-    by_degree = degrees(edges).groupBy("degree").agg(F.count("*").alias("n")).orderBy(F.desc("degree"))
+    enough to hold one vertex for each part, each with one of the parts by hash."""
+    n_parts = len(parts)
+    by_degree = all_degrees.groupBy("degree").agg(F.count("*").alias("n")).orderBy(F.desc("degree"))
     counts = [(r["degree"], r["n"]) for r in by_degree.collect()]  # one row for each distinct degree
     band, got = counts[min(ignore_highest, max(0, len(counts) - 1)) :], 0
     low = high = band[0][0] if band else 0
@@ -25,31 +26,40 @@ def seeds(edges: DataFrame, n_parts: int, ignore_highest: int = 1, seed: int = 0
         low, got = degree, got + n
         if got >= n_parts:
             break
-    pid = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n_parts)).cast("int")
-    return degrees(edges).filter(F.col("degree").between(low, high)).select("id", pid.alias("pid"), F.lit(1.0).alias("power"))
+    pid = F.get(F.array(*map(F.lit, parts)), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n_parts)).cast("int"))
+    return all_degrees.filter(F.col("degree").between(low, high)).select("id", pid.alias("pid"), F.lit(1.0).alias("power"))
+
 
+def seeds(edges: DataFrame, n_parts: int, ignore_highest: int = 1, seed: int = 0) -> DataFrame:
+    """The first seeds of ``power_partitions``."""
+    return _seeds(degrees(edges), list(range(n_parts)), ignore_highest, seed)
 
-def power_partitions(edges: DataFrame, n_parts: int, ignore_highest: int = 1, seed: int = 0, max_iter: int = 20) -> DataFrame:
+
+def power_partitions(edges: DataFrame, n_parts: int, ignore_highest: int = 1, seed: int = 0, max_iter: int | None = None) -> DataFrame:
     """``id, pid`` for every vertex. Placed vertices send their part and power to their neighbours; a vertex without a
     part takes that of the greatest summed power among parts of less than average size, of equal ones the lowest.
-    What is left when nothing moves goes to a part by a hash weighted by the parts' room."""
-    both, all_ = written(symmetric(edges)), written(degrees(edges).select("id"))
-    total = all_.count()
+    When nothing moves, vertices without a part of the highest degrees among these become seeds of parts of less than
+    average size. Once fewer are left than there are leaves, or every part has the average size, the rest goes to a part
+    by a hash weighted by the parts' room; so does what ``max_iter`` rounds leave, if given."""
+    both, all_ = written(symmetric(edges)), written(degrees(edges))
+    total, leaves = all_.count(), all_.filter("degree = 1").count()
     average = max(1, total // n_parts)
     kept = Generations(edges.sparkSession)
     placed = kept.write(seeds(edges, n_parts, ignore_highest, seed))
-    fresh = placed
-    for _ in range(max_iter):
+    fresh, rounds = placed, 0
+    while max_iter is None or rounds < max_iter:
+        rounds += 1
         sizes = {r["pid"]: r["vertices"] for r in part_sizes(placed).collect()}  # one row a part
         open_ = [p for p in range(n_parts) if sizes.get(p, 0) < average]
-        if not open_:
+        left = total - sum(sizes.values())
+        if not open_ or left == 0 or left < leaves:
             break
         sent = both.join(fresh.filter(F.col("pid").isin(open_)).select(F.col("id").alias("src"), "pid", "power"), "src").join(placed.select(F.col("id").alias("dst")), "dst", "left_anti")
         power = sent.groupBy(F.col("dst").alias("id"), "pid").agg(F.sum("power").alias("power"))
         best = power.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("power"), "pid"))).filter("r = 1")
         fresh = written(best.select("id", "pid", (F.col("power") / 2).alias("power")))
         if fresh.isEmpty():
-            break
+            fresh = written(_seeds(all_.join(placed, "id", "left_anti"), open_, 0, seed + rounds))
         placed = kept.write(placed.unionByName(fresh))
     sizes = {r["pid"]: r["vertices"] for r in part_sizes(placed).collect()}
     room = [max(0, average + 1 - sizes.get(p, 0)) for p in range(n_parts)]

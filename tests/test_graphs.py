@@ -123,6 +123,20 @@ def test_partitions(spark):
     assert partitioning.balance(merged).first()["largest"] <= 100
 
 
+def test_power_partitions_spread_over_twenty_hops_and_to_further_components(spark):
+    """Two cliques, each with a chain of 26; then cliques and a star that the first seeds can't reach."""
+    side = lambda o: [(o + a, o + b) for a in range(4) for b in range(a)] + [(o, o + 4)] + [(o + i, o + i + 1) for i in range(4, 29)]
+    frame = lambda edges: spark.createDataFrame([(min(e), max(e)) for e in edges], "src bigint, dst bigint").localCheckpoint()
+    e = frame(side(0) + side(100))
+    seed = next(s for s in range(20) if len({r["pid"] for r in partitioning.seeds(e, 2, 0, s).collect()}) == 2)
+    own = {r["id"]: r["pid"] for r in partitioning.power_partitions(e, 2, 0, seed).collect()}
+    assert len(own) == 60
+    assert len({own[i] for i in range(29)}) == len({own[100 + i] for i in range(29)}) == 1 and own[0] != own[100]
+    clique = lambda o, n: [(o + a, o + b) for a in range(n) for b in range(a)]
+    parts = partitioning.power_partitions(frame(clique(0, 8) + [(50, i) for i in range(51, 55)] + [(i, i + 10) for i in range(51, 55)]), 1, 0)
+    assert len({r["id"] for r in parts.collect()}) == 17
+
+
 def test_scalars(spark):
     r = spark.createDataFrame([(7, 3, 5)], "a bigint, b bigint, c bigint").select(packed(F.col("a"), F.col("b")).alias("p"), sorted_three(*map(F.col, "abc")).alias("s")).select("*", unpacked(F.col("p")).alias("u")).first()
     assert (r["p"], r["s"], tuple(r["u"])) == ((3 << 32) | 7, [3, 5, 7], (3, 7))
