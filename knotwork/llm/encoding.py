@@ -1,4 +1,4 @@
-"""Ids of whole texts exactly as the tokenizers library gives them, encoding each distinct segment once per worker.
+"""Ids of whole texts exactly as the tokenizers library gives them, encoding a segment once while it keeps coming.
 
 A text is cut only where no token can span the cut: before a single space or line feed between two other
 characters. Both vocabularies split at such a place themselves (the byte-level one keeps the white space with what
@@ -11,17 +11,20 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain, filterfalse
+from array import array
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 
+from .memory import trim
+
 #: A space or line feed beside other white space: such texts are cut by the stricter pattern.
 RUN = re.compile(r"[ \n]\s|\s[ \n]|\0")
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Marks at the end of a segment, after a letter, are tokens of their own.
 MARKS = ".,;:!?#%&*$"
-#: Segments a worker keeps. A full table takes no more; what it lacks is encoded each time it comes.
-KEPT = 1_000_000
+#: Segments that a worker keeps, and their greatest length: some 120 MB at most, whatever the texts.
+KEPT, LONGEST = 500_000, 64
 AT_ONCE = 20_000
 #: Up to here every library agrees on letters and their cases.
 LATIN = "\u00ff"
@@ -54,6 +57,7 @@ class Encoder:
         self.strip = by_word and not byte_level
         self.folds = self.strip and '"Lowercase"' in json.dumps(norm)
         self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = {2: "H", 4: "I"}[self.type.itemsize]
         self.cache: dict[str, bytes] = {}
 
     def of(self, text: str) -> list[str]:
@@ -67,7 +71,7 @@ class Encoder:
         for i in range(0, len(some), AT_ONCE):
             part = some[i : i + AT_ONCE]
             for s, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                out[s] = np.array(e.ids, self.type).tobytes()
+                out[s] = array(self.code, e.ids).tobytes()
         return out
 
     def _parts(self, segment: str) -> tuple[str, str]:
@@ -99,23 +103,30 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]):
-        cut = [self.of(t) for t in texts]
-        cache, has = self.cache, self.cache.__contains__
-        new = self._new(list(set(chain.from_iterable(filterfalse(has, c) for c in cut))))
+        cut, cache = [self.of(t) for t in texts], self.cache
+        new = self._new(list(set(chain.from_iterable(filterfalse(cache.__contains__, c) for c in cut))))
         cache.update(new)
         for c in cut:
             yield np.frombuffer(b"".join(map(cache.__getitem__, c)), self.type)
-        if len(cache) > self.kept:
-            for s in new:
-                del cache[s]
+        for s in filter(lambda s: len(s) > LONGEST, new):
+            del cache[s]
+        if len(cache) > self.kept:  # frequent segments that go with the oldest third soon come again
+            self.cache = dict(islice(cache.items(), len(cache) - self.kept * 2 // 3, None))
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; its table outlives the task."""
+    """The worker's encoder for a vocabulary file; its table outlives the task, until another file or operator comes."""
     if path not in _ENCODERS:
-        _ENCODERS.clear()
+        release()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Gives the memory of encoders back, before an operator that needs none."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        trim()

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import texts, written
 from .components import components
+from .memory import tidy
 from .shingles import MASK, mix, shingle_sets, signature
 
 #: Counters of the table that tells frequent shingles, and how far above the mean, in standard deviations, they are.
@@ -79,6 +80,7 @@ def _sets(batches: Iterator[pa.RecordBatch]):
         yield from zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist()))
 
 
+@tidy
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, and after them a task's counts of shingles by slot, in blocks."""
     names = ["doc_id", "n", "sig", "sketch", "block", "counts"]
@@ -116,6 +118,7 @@ def _frequent(t: pa.Table) -> pa.Table:
 
 
 def _keys(frequent: Broadcast, n_buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(frequent.value, np.uint8)
 
@@ -160,6 +163,7 @@ def _groups(t: pa.Table) -> pa.Table:
     return pa.table({"members": pa.array([np.frombuffer(x, np.int64) for x in lists], pa.list_(pa.int64()))})
 
 
+@tidy
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sizes and sketches allow a link."""
     for b in batches:
@@ -192,6 +196,7 @@ def _across(t: pa.Table) -> pa.Table:
 
 
 def _wanted(bits: Broadcast):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.frombuffer(bits.value, np.uint8), set()
         for b in batches:

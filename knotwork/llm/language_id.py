@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
+from .memory import tidy
 
 #: Buckets of the hashed n-grams, their longest n, and the smoothing of counts.
 BUCKETS, N, ALPHA = 1 << 15, 3, 0.5
@@ -69,6 +70,7 @@ def sliced(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         yield of, group
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for b in batches:
@@ -127,6 +129,7 @@ def predicted(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[li
 
 
 def _score(model):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pred, score = predicted(b.column("text").to_pylist(), *model.value)
@@ -136,6 +139,7 @@ def _score(model):
 
 
 def _keep(model, least_score: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pred, score = predicted([t or "" for t in b.column("text").to_pylist()], *model.value)

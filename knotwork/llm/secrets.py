@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, written
+from .memory import tidy
 
 #: The base patterns, and the least length of what counts.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -117,6 +118,7 @@ def scanned(text: str) -> list[tuple[int, int, str, str | None, int | None]]:
     return out
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("test", pa.string()), ("p_bin", pa.int32())]))
     names = ("start", "end", "kind", "test", "p_bin")
@@ -184,6 +186,7 @@ def expected_base(text: str) -> str:
 
 
 def _redact(least: dict[str, int]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []

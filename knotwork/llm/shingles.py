@@ -11,7 +11,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text hashed at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,11 +25,14 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(max(n, BLOCK + 1), np.uint64)
-        have[1:] = np.uint64(base)
-        _POWERS[base] = have = np.cumprod(have, dtype=np.uint64)
+    """The powers of ``base`` from 0 on, ``n`` or more; those of a block are kept."""
+    if base in _POWERS and len(_POWERS[base]) >= n:
+        return _POWERS[base]
+    have = np.ones(max(n, BLOCK + (BLOCK >> 4)), np.uint64)
+    have[1:] = np.uint64(base)
+    have = np.cumprod(have, dtype=np.uint64)
+    if len(have) <= BLOCK + (BLOCK >> 4):
+        _POWERS[base] = have
     return have
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import file_system, new_path, small_batches, written
+from .memory import tidy
 
 #: The skippable frame of a dictionary, and the profile of revisits.
 MAGIC = 0x184D2A5D
@@ -121,6 +122,7 @@ def parsed(rec: bytes) -> dict:
 
 
 def _write(to: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = file_system(to)
         out = a = None
@@ -170,6 +172,7 @@ def write_warc(pages: DataFrame, to: str, least_bytes: int = 1000) -> DataFrame:
     return written(dealt.mapInArrow(_write(to), "file string, n_records bigint"), "warc-manifest")
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
