@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -12,12 +13,15 @@ OWN_DIR = "file:///tmp/checkpoints/knotwork-graphs"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; sets one where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Where it is unset, one of this machine's
+    on a local master, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = at.get() if at.isDefined() else None
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(OWN_DIR)
         named = OWN_DIR
     return named.rstrip("/")

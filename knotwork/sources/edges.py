@@ -15,9 +15,17 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def edges_from_text(spark: SparkSession, path: str) -> DataFrame:
-    """``src, dst`` of each line with exactly two tokens that aren't equal, as written. Other tokens than numbers fail."""
-    two = lines(spark, path).filter(F.size("t") == 2)
-    return two.select(F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst")).filter("src <> dst")
+    """``src, dst`` of each line with exactly two tokens that aren't equal, as written; repeated lines stay. Two tokens
+    of which one is no number (a line with a leading blank and one number, say) fail, others are never cast."""
+
+    def vertex(i: int) -> Column:
+        token = F.get("t", F.lit(i))
+        n = F.expr(f"try_cast(get(t, {i}) AS BIGINT)")
+        return F.when(n.isNull(), F.raise_error(F.concat(F.lit("not a vertex id: '"), token, F.lit("'"))).cast("long")).otherwise(n)
+
+    # casts that fail give null, so no order of the tests matters
+    two = lines(spark, path).select(F.when(F.size("t") == 2, F.struct(vertex(0).alias("src"), vertex(1).alias("dst"))).alias("e"))
+    return two.filter("e is not null").select("e.src", "e.dst").filter("src <> dst")
 
 
 def sorted_edge_list(edges: DataFrame) -> DataFrame:
