@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from .common import texts, written
 from .components import components
 from .memory import tidy
-from .shingles import MASK, mix, shingle_sets, signature
+from .shingles import MASK, mix, other_signature, shingle_sets, signature
 
 #: Counters of the table that tells frequent shingles, and how far above the mean, in standard deviations, they are.
 WIDTH, BLOCKS, SIGMAS = 1 << 20, 16, 6.0
-#: Cells of the smallest bands, keys that a reducer takes, and sets that are verified beside one copy of a leader.
-LEAST_CELLS, BUCKET_KEYS, SALT_ROWS = 1024, 1 << 20, 512
-FLUSH = 1 << 21
+#: Cells of the smallest bands, keys that a reducer takes, and bytes of sets that are verified beside one copy of a leader.
+LEAST_CELLS, BUCKET_KEYS, SALT_BYTES = 1024, 1 << 20, 16 << 20
+#: Keys of a part of a task's input, sets of one key in it that go by their first one to the reducer, and sets that are
+#: compared with each other at once.
+FLUSH, LOCAL, BLOCK_SETS = 1 << 21, 32, 1024
 C1, C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -83,8 +85,8 @@ def _sets(batches: Iterator[pa.RecordBatch]):
 @tidy
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, and after them a task's counts of shingles by slot, in blocks."""
-    names = ["doc_id", "n", "sig", "sketch", "block", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "sig", "other", "sketch", "block", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     counts = np.zeros(WIDTH, np.int64)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -92,7 +94,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rows, slots, held = [], [], 0
     for doc, s in _sets(batches):
-        rows.append((doc, len(s), signature(s), bit_sketch(s) if len(s) else b"", None, None))
+        rows.append((doc, len(s), signature(s), other_signature(s), bit_sketch(s) if len(s) else b"", None, None))
         slots.append((s & np.uint64(WIDTH - 1)).astype(np.int64))
         held += len(s)
         if len(rows) >= 2000 or held > FLUSH:
@@ -104,7 +106,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(rows)
     for k, c in enumerate(np.split(counts, BLOCKS)):
         if c.any():
-            yield batch([(None, None, None, None, k, np.minimum(c, np.iinfo(np.uint32).max).astype(np.uint32).tobytes())])
+            yield batch([(None, None, None, None, None, k, np.minimum(c, np.iinfo(np.uint32).max).astype(np.uint32).tobytes())])
 
 
 def _frequent(t: pa.Table) -> pa.Table:
@@ -117,7 +119,11 @@ def _frequent(t: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
 
-def _keys(frequent: Broadcast, n_buckets: int):
+def _keys(frequent: Broadcast, n_buckets: int, clashes: frozenset[int]):
+    """Rows of keys with their sets, by bucket. Of a key that more than ``LOCAL`` sets of a flush have, the reducer gets
+    the first set alone; the list of all goes past it, in a row of a bucket below 0, and is joined to what the reducer
+    finds. So no reducer takes more than a few sets of a key from one flush, however frequent the key."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(frequent.value, np.uint8)
@@ -125,16 +131,25 @@ def _keys(frequent: Broadcast, n_buckets: int):
         def flush() -> pa.RecordBatch:
             k, s = np.concatenate(keys), np.repeat(np.array(sigs, np.int64), [len(x) for x in keys])
             bucket = (k % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            short = (k >> np.uint64(32)).astype(np.uint32)[order]
-            s = s[order]
-            rows = [(b, short[i:j].tobytes(), s[i:j].tobytes()) for b, i, j in zip(range(n_buckets), at, at[1:]) if i < j]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "sigs"])
+            short = (k >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((s, short, bucket))
+            bucket, short, s = bucket[order], short[order], s[order]
+            new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (short[1:] != short[:-1])]))
+            ends = np.append(new[1:], len(s))
+            keep, hot = np.ones(len(s), bool), np.zeros(len(s), bool)
+            rows = []
+            for i, j in zip(new[ends - new > LOCAL].tolist(), ends[ends - new > LOCAL].tolist()):
+                keep[i + 1 : j], hot[i] = False, True
+                rows.append((-1 - int(s[i]) % n_buckets, None, None, None, packed(bucket[i], short[i]), np.unique(s[i:j])))
+            bucket, short, s, hot = bucket[keep], short[keep], s[keep], hot[keep]
+            at = np.searchsorted(bucket, np.arange(n_buckets + 1))
+            rows += [(b, short[i:j].tobytes(), s[i:j].tobytes(), np.flatnonzero(hot[i:j]).astype(np.int32).tobytes(), None, None) for b, i, j in zip(range(n_buckets), at, at[1:]) if i < j]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "keys", "sigs", "hot", "key", "members"])
 
         keys, sigs, held, seen = [], [], 0, set()
         for _, s in _sets(batches):
-            if not len(s) or (sig := signature(s)) in seen:
+            if not len(s) or (sig := signature(s, clashes)) in seen:
                 continue
             seen.add(sig)
             for level in levels(len(s)):
@@ -150,17 +165,37 @@ def _keys(frequent: Broadcast, n_buckets: int):
     return run
 
 
+KEYS = "bucket int, keys binary, sigs binary, hot binary, key bigint, members array<bigint>"
+#: Pairs (a: the first set that has a key, b: another); ``key`` where b stands for a list; rows with ``members`` are lists.
+GROUPS = "a bigint, b bigint, key bigint, members array<bigint>"
+
+
+def packed(bucket, short) -> int:
+    return int(bucket) << 32 | int(short)
+
+
 def _groups(t: pa.Table) -> pa.Table:
-    """Distinct lists of the sets that share a key, from the keys of one bucket."""
-    k = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()])
-    s = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("sigs").to_pylist()])
+    """The distinct pairs of a key's first set and each other one, from the keys of one bucket; lists as they are."""
+    bucket = t.column("bucket")[0].as_py()
+    if bucket < 0:
+        lists = t.column("members").combine_chunks()
+        none = pa.nulls(len(t), pa.int64())
+        return pa.table([pa.array([m[0] for m in lists.to_pylist()], pa.int64()), none, t.column("key"), lists], names=["a", "b", "key", "members"])
+    parts = [tuple(np.frombuffer(x, d) for x, d in zip(r, (np.uint32, np.int64, np.int32))) for r in zip(*(t.column(c).to_pylist() for c in ("keys", "sigs", "hot")))]
+    k, s = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+    hot = np.zeros(len(k), bool)
+    hot[np.concatenate([x[2].astype(np.int64) + at for x, at in zip(parts, np.cumsum([0, *(len(x[0]) for x in parts)]))])] = True
     order = np.lexsort((s, k))
-    k, s = k[order], s[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-    k, s = k[new], s[new]
-    at = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
-    lists = {s[i:j].tobytes() for i, j in zip(at[:-1][np.diff(at) > 1], at[1:][np.diff(at) > 1])}
-    return pa.table({"members": pa.array([np.frombuffer(x, np.int64) for x in lists], pa.list_(pa.int64()))})
+    k, s, hot = k[order], s[order], hot[order]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.append(start, len(k)))
+    first = np.repeat(s[start], size)
+    mark = hot  # a list's first set keeps its key, as the list is joined by both
+    plain = ~mark & (first != s)
+    pairs = np.unique(np.stack([first[plain], s[plain]], 1), axis=0) if plain.any() else np.zeros((0, 2), np.int64)
+    a, b = np.concatenate([pairs[:, 0], first[mark]]), np.concatenate([pairs[:, 1], s[mark]])
+    key = pa.array([None] * len(pairs) + [packed(bucket, x) for x in k[mark].tolist()], pa.int64())
+    return pa.table([pa.array(a), pa.array(b), key, pa.nulls(len(a), pa.list_(pa.int64()))], names=["a", "b", "key", "members"])
 
 
 @tidy
@@ -173,36 +208,39 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = np.frombuffer(x, np.uint8)[None], np.frombuffer(y, np.uint8)[None]
                 w = min(x.shape[1], y.shape[1])
                 keep[i] = 7 * int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()) <= n + m
-        yield b.select(["a", "b"]).filter(pa.array(keep))
+        yield b.select(["a", "b", "nb"]).filter(pa.array(keep))
 
 
 def _across(t: pa.Table) -> pa.Table:
-    """Pairs between different components, but those of the first member, that may be linked, among all that share a
-    key with that member. Compares a row with all later ones at a time; emits only what sizes and sketches allow."""
-    sig, n, root = (t.column(c).to_numpy() for c in ("sig", "n", "root"))
-    order = np.argsort(sig, kind="stable")
-    sig, n, root, raw = sig[order], n[order], root[order], t.column("sketch").take(pa.array(order)).to_pylist()
+    """Pairs between different components that may be linked, among sets that share a key with the same first set: all
+    of a block, or those between two blocks. Compares a row with others at a time; emits only what sizes and sketches
+    allow."""
+    sig, n, root, block = (t.column(c).to_numpy() for c in ("sig", "n", "root", "block"))
+    order = np.lexsort((sig, block))
+    sig, n, root, block, raw = sig[order], n[order], root[order], block[order], t.column("sketch").take(pa.array(order)).to_pylist()
     width = min(map(len, raw))
     sketch = np.concatenate([folded(np.frombuffer(x, np.uint8)[None], width) for x in raw])
+    second = int(np.searchsorted(block, block[-1])) if t.column("i")[0].as_py() != t.column("j")[0].as_py() else 0
     out_a, out_b = [], []
-    for i in range(1, len(sig) - 1):
-        near = (root[i + 1 :] != root[i]) & (3 * np.maximum(n[i + 1 :], n[i]) <= 4 * np.minimum(n[i + 1 :], n[i]))
-        j = np.flatnonzero(near) + i + 1
+    for i in range(second or len(sig) - 1):
+        at = second or i + 1
+        near = (root[at:] != root[i]) & (3 * np.maximum(n[at:], n[i]) <= 4 * np.minimum(n[at:], n[i]))
+        j = np.flatnonzero(near) + at
         j = j[7 * np.bitwise_count(sketch[j] ^ sketch[i]).sum(1).astype(np.int64) <= n[j] + n[i]]
         out_a.append(np.full(len(j), sig[i]))
         out_b.append(sig[j])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _wanted(bits: Broadcast):
+def _wanted(bits: Broadcast, clashes: frozenset[int]):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.frombuffer(bits.value, np.uint8), set()
         for b in batches:
             rows = []
             for s in shingle_sets(b.column("text").to_pylist()):
-                if len(s) and (sig := signature(s)) not in seen and table[(slot := sig & (len(table) * 8 - 1)) >> 3] >> (slot & 7) & 1:
+                if len(s) and (sig := signature(s, clashes)) not in seen and table[(slot := sig & (len(table) * 8 - 1)) >> 3] >> (slot & 7) & 1:
                     seen.add(sig)
                     rows.append((sig, s.tobytes()))
             if len(seen) > 1 << 20:
@@ -224,53 +262,59 @@ def _verify(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([leader] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
 
-#: Bits of the filter by which only sets that are in a candidate pair are gathered; what it lets through in error goes in the join.
-FILTER_BITS = 1 << 23
+#: Least and greatest bits of the filter by which only sets that are in a candidate pair are gathered, and bits for each
+#: of them; what it lets through in error goes in the join.
+FILTER_LEAST, FILTER_MOST, FILTER_EACH = 1 << 16, 1 << 28, 16
 
 
 def _filter_bits(sigs: DataFrame) -> bytes:
-    """A bit for each signature, of a table of fixed size."""
-    slots = sigs.select(F.col("sig").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot"))
+    """A bit for each signature, in a table of ``FILTER_MOST`` bits at most."""
+    n = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_EACH * sigs.count()).bit_length()))
+    slots = sigs.select(F.col("sig").bitwiseAND(F.lit(n - 1)).alias("slot"))
     rows = slots.groupBy(F.shiftright("slot", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot & 31 as int))")).alias("bits")).groupBy(F.shiftright("at", 8).alias("page")).agg(F.collect_list(F.struct("at", "bits")).alias("x"))
-    table = np.zeros(FILTER_BITS // 32, np.int32)
+    table = np.zeros(n // 32, np.int32)
     for r in rows.toLocalIterator():
         for at, bits in r["x"]:
             table[at] = bits
     return table.astype("<i4").tobytes()
 
 
-def _links(pairs: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, ids: DataFrame, docs: DataFrame, clashes: frozenset[int]) -> DataFrame:
     """The pairs (a, b) of signatures that are linked, verified on whole sets."""
     spark = docs.sparkSession
     side = lambda x: ids.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
-    near = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_near, "a bigint, b bigint"), "near")
-    sigs = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    near = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_near, "a bigint, b bigint, nb bigint"), "near")
+    sigs = written(near.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "candidates")
     bits = spark.sparkContext.broadcast(_filter_bits(sigs))
-    sets = written(docs.mapInArrow(_wanted(bits), "sig bigint, shingles binary").dropDuplicates(["sig"]), "sets")
-    # a leader's set is copied once for each SALT_ROWS of its pairs
-    many = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT_ROWS)).cast("int").alias("copies"))
+    sets = written(docs.mapInArrow(_wanted(bits, clashes), "sig bigint, shingles binary").dropDuplicates(["sig"]), "sets")
+    # a leader's set is copied once for each SALT_BYTES of the sets it is held against
+    many = near.groupBy("a").agg(F.ceil(F.sum(F.col("nb") * 8) / F.lit(SALT_BYTES)).cast("int").alias("copies"))
     pair = near.join(many, "a").select(F.col("a").alias("leader"), F.col("b").alias("sig"), F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"))
     own = many.select(F.col("a").alias("leader"), F.col("a").alias("sig"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     asked = pair.unionByName(own).join(sets, "sig")
     return written(asked.groupBy("leader", "salt").applyInArrow(_verify, "a bigint, b bigint"), "verified")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each row of ``docs`` (doc_id, text): its distinct 5-word shingles and
-    the smallest doc_id reachable by links, where two rows link if 100 x intersection >= 75 x union.
+#: Rows of a table up to which it is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
-    Rows of equal sets are one set from the start. Of the sets that share a key, first only pairs with one of them are
-    verified; then, among all that share a key with the same first set, the pairs between components. So groups of near copies
-    cost in proportion to their size, and no link between components is missed.
 
-    Null or empty text, or white space alone: no shingles, linked with nothing, component_id is the own doc_id. Fewer
-    than five words: one shingle of all of them. Null doc_ids: rows as others, but never a component_id, unless all of
-    a component are null. Repeated rows: a row each, linked. No rows: no rows. Other columns are ignored.
-    """
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """``doc_id, n, sig, root, component_id`` of each row of ``docs``, and the signatures that unequal sets share: of
+    rows with shingles the signature of their set and the least one reachable by links."""
     spark = docs.sparkSession
     own = texts(docs)
-    scanned = written(own.mapInArrow(_ids, "doc_id bigint, n bigint, sig bigint, sketch binary, block int, counts binary"), "shingle-ids")
+    scanned = written(own.mapInArrow(_ids, "doc_id bigint, n bigint, sig bigint, other bigint, sketch binary, block int, counts binary"), "shingle-ids")
     rows = scanned.filter("block is null")
+    # sets are told apart by both signatures; that some share one is a matter of chance, so there are few
+    shared = rows.filter("n > 0").groupBy("sig").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi")
+    clashes = frozenset(r["sig"] for r in shared.select("sig").collect())
+    if clashes:
+        rows = rows.withColumn("sig", F.when(F.col("sig").isin(*clashes), F.col("other")).otherwise(F.col("sig")))
     ids = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     ids = written(ids, "sets-ids")
     frequent = np.zeros((BLOCKS, WIDTH // BLOCKS // 8), np.uint8)
@@ -278,38 +322,79 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         frequent[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     total = ids.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_KEYS)))
-    keys = own.mapInArrow(_keys(spark.sparkContext.broadcast(frequent.tobytes()), n_buckets), "bucket int, keys binary, sigs binary")
-    lists = keys.groupBy("bucket").applyInArrow(_groups, "members array<bigint>")
-    groups = written(lists.withColumn("gid", F.xxhash64("members")).dropDuplicates(["gid"]), "key-groups")
-    stars = groups.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()
-    first_links = _links(stars, ids, own)
+    keys = own.mapInArrow(_keys(spark.sparkContext.broadcast(frequent.tobytes()), n_buckets, clashes), KEYS)
+    groups = written(keys.groupBy("bucket").applyInArrow(_groups, GROUPS), "key-groups")
+    pairs = groups.filter("b is not null").select("a", "b")
+    lists = groups.filter("members is not null").select(F.col("a").alias("b"), "key", "members")
+    listed = groups.filter("b is not null and key is not null").select("a", "b", "key").join(lists, ["b", "key"]).select("a", F.explode("members").alias("b"))
+    stars = written(pairs.unionByName(listed).filter("a <> b").distinct(), "stars")
+    first_links = _links(stars, ids, own, clashes)
     roots = written(components(first_links), "roots")
     # near copies share many keys, and mostly the first member: all groups of one first member are gone through once
-    member = groups.filter(F.size("members") > 2).select(F.element_at("members", 1).alias("first"), F.explode("members").alias("sig")).distinct()
-    rooted = member.join(roots.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    open_ = rooted.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("first")
-    across = rooted.join(open_, "first", "left_semi").join(ids.select("sig", "n", "sketch"), "sig").select("first", "sig", "n", "root", "sketch")
-    pairs = written(across.groupBy("first").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
-    links = first_links.unionByName(_links(pairs, ids, own)) if not pairs.isEmpty() else first_links
+    rooted = written(stars.select(F.col("a").alias("first"), F.col("b").alias("sig")).join(roots.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "rooted")
+    open_ = written(rooted.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("first", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks")), "open")
+    # a large group is compared by pairs of blocks, each a task's group of its own
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    across = rooted.join(_few(open_), "first").withColumn("block", block).join(ids.select("sig", "n", "sketch"), "sig")
+    across = across.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n", "root", "sketch")
+    found = written(across.groupBy("first", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
+    links = first_links.unionByName(_links(found, ids, own, clashes)) if not found.isEmpty() else first_links
     final = written(components(links), "roots")
     named = ids.select("sig", "first").join(final.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("sig", "component_id")
-    shown = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(named, "sig", "left")
-    return shown.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.join(least, "root").select("sig", "root", "component_id")
+    out = rows.filter("n > 0").select("doc_id", "n", "sig").join(named, "sig").select("doc_id", "n", "sig", "root", "component_id")
+    none = F.lit(None).cast("bigint")
+    return out.unionByName(rows.filter("n = 0").select("doc_id", "n", none.alias("sig"), none.alias("root"), F.col("doc_id").alias("component_id"))), clashes
 
 
-#: Ids of rows to drop up to which they are broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of each row of ``docs`` (doc_id, text): its distinct 5-word shingles and
+    the smallest doc_id reachable by links, where two rows link if 100 x intersection >= 75 x union.
+
+    Rows of equal sets are one set from the start. Of the sets that share a key, first only pairs with one of them are
+    verified; then, among all that share a key with the same first set, the pairs between components, in blocks. So groups
+    of near copies cost in proportion to their size, and no link between components is missed.
+
+    Null or empty text, or white space alone: no shingles, linked with nothing, component_id is the own doc_id. Fewer
+    than five words: one shingle of all of them. Null doc_ids: rows as others, but never a component_id, unless all of
+    a component are null. Repeated rows: a row each, linked. No rows: no rows. Other columns are ignored.
+    """
+    return _named(docs)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _signed(clashes: frozenset[int]):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets([t or "" for t in b.column("text").cast(pa.string()).to_pylist()])
+            yield b.append_column("_sig", pa.array([signature(s, clashes) if len(s) else None for s in sets], pa.int64()))
+
+    return run
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without those linked, directly or through others, to one of a smaller doc_id; all columns are kept.
-    Of rows of equal doc_id one stays. Rows without shingles stay, as do rows without doc_id that no other row with
-    one is linked to."""
-    found = written(jaccard_components(docs), "components")
-    drop = found.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("dropped")).distinct()
-    drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
-    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["dropped"]), "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return kept if again.isEmpty() else kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """One row of each component of linked rows of ``docs``, that with the smallest doc_id, of equal ones that with the
+    smallest signature of its shingles; rows without doc_id come last. All columns are kept. Rows without shingles
+    stay. Rows are told apart by their texts, so other texts of a doc_id that is dropped or kept don't share its fate;
+    of rows equal in doc_id and shingles one stays. No rows: no rows."""
+    found, clashes = _named(docs)
+    found = written(found.filter("n > 0"), "components")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig")).alias("best")).select("root", F.col("best.doc_id").alias("best_id"), F.col("best.sig").alias("best_sig"))
+    marked = written(found.join(best, "root").select("doc_id", "sig", (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("sig") == F.col("best_sig"))).alias("stays")), "marked")
+    own = F.col("doc_id").cast("long")
+    # ids of one row are enough to tell it; rows that share an id, or have none, are told apart by signature
+    again = texts(docs).groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    again = written(again, "shared-ids")
+    drop = written(marked.filter("not stays").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    some = not again.isEmpty()
+    single = docs.join(_few(again), own.eqNullSafe(F.col("_id")), "left_anti") if some else docs
+    kept = single.join(_few(drop), own.eqNullSafe(F.col("_id")), "left_anti")
+    if not some:
+        return kept
+    shared = docs.join(_few(again), own.eqNullSafe(F.col("_id")), "left_semi")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    signed = shared.mapInArrow(_signed(clashes), f"{fields}, _sig bigint")
+    stay = marked.filter("stays").select(F.col("doc_id").alias("_id"), F.col("sig").alias("_best")).distinct()
+    left = signed.join(stay, own.eqNullSafe(F.col("_id")) & (F.col("_sig") == F.col("_best")), "left_semi").dropDuplicates(["doc_id", "_sig"])
+    return kept.unionByName(left.drop("_sig")).unionByName(signed.filter("_sig is null").drop("_sig"))

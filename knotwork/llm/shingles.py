@@ -91,7 +91,13 @@ def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> int:
-    """64 bits that equal sets share, as a signed number."""
+def signature(s: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
+    """64 bits that equal sets share, as a signed number; of sets whose bits are among ``clashes`` others."""
     x = mix(np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(s) if len(s) else 0, len(s)], np.uint64)) * np.array([1, 3, 5], np.uint64)
-    return int(mix(x.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+    own = int(mix(x.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+    return other_signature(s) if own in clashes else own
+
+
+def other_signature(s: np.ndarray) -> int:
+    """64 further bits, from other hashes of the shingles: sets that share both signatures are taken for equal."""
+    return signature(mix(s ^ np.uint64(INVERSE)))

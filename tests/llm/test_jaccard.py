@@ -133,3 +133,66 @@ def test_normalisation(spark, text):
 
     r = spark.createDataFrame([(text,)], "t string").select(fingerprints.nfc(fingerprints.F.col("t")).alias("n")).first()
     assert r["n"] == unicodedata.normalize("NFC", text)
+
+
+def test_frequent_keys_go_past_the_reducer(monkeypatch):
+    """One key of 5,000 sets from ten flushes, with plain keys beside it: the pairs are those of a plain grouping."""
+    n, width = 500, 8
+    monkeypatch.setattr(jaccard_join, "cells", lambda s, frequent, level: s[:2])
+    monkeypatch.setattr(jaccard_join, "levels", lambda k: [0])
+    names = iter(range(1, 10**6))
+    monkeypatch.setattr(jaccard_join, "signature", lambda s, clashes=frozenset(): int(s[2]))
+    sets = [[(None, np.array([7 << 33, (1000 + i // 2) << 33, next(names)], np.uint64)) for i in range(n)] for _ in range(10)]
+    rows_ = []
+    for some in sets:
+        monkeypatch.setattr(jaccard_join, "_sets", lambda batches, some=some: iter(some))
+        frequent = type("B", (), {"value": b""})()
+        rows_ += [r for b in jaccard_join._keys(frequent, width, frozenset())(iter(())) for r in b.to_pylist()]
+    pairs, lists = set(), {}
+    kinds = jaccard_join.pa.schema([("bucket", "int32"), ("keys", "binary"), ("sigs", "binary"), ("hot", "binary"), ("key", "int64")]).append(jaccard_join.pa.field("members", jaccard_join.pa.list_(jaccard_join.pa.int64())))
+    hot = []
+    for bucket in {r["bucket"] for r in rows_}:
+        t = jaccard_join.pa.Table.from_pylist([r for r in rows_ if r["bucket"] == bucket], kinds)
+        for r in jaccard_join._groups(t).to_pylist():
+            if r["members"] is not None:
+                lists[r["a"], r["key"]] = r["members"]
+            elif r["key"] is not None:
+                hot.append((r["a"], r["b"], r["key"]))
+            else:
+                pairs.add((r["a"], r["b"]))
+        largest = max([largest, *(len(r["sigs"]) // 8 for r in rows_ if r["bucket"] == bucket and r["sigs"])])
+    pairs |= {(a, m) for a, b, k in hot for m in lists[b, k] if m != a}
+    want, by = set(), {}
+    for some in sets:
+        for _, s in some:
+            for k in s[:2].tolist():
+                by.setdefault(k, []).append(int(s[2]))
+    for members in by.values():
+        want |= {(min(members), m) for m in members if m != min(members)}
+    assert pairs == want
+    frequent_key = sum(np.count_nonzero(np.frombuffer(r["keys"], np.uint32) == 14) for r in rows_ if r["keys"])
+    assert frequent_key == len(sets)
+
+
+def test_a_large_group_is_compared_in_blocks(spark, monkeypatch):
+    """Many documents under one passage, a few of them near copies, give in blocks what brute force gives."""
+    passage = prose(4, 12)
+    docs = [(i, f"{passage} {prose(10_000 + i, 6)}") for i in range(300)]
+    docs += [(1000 + i, f"{passage} {prose(10_000 + i, 6)} tail") for i in range(0, 300, 9)]
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 40)
+    monkeypatch.setattr(jaccard_join, "LOCAL", 4)
+    assert rows(jaccard_join.jaccard_components(table(spark, docs)), "doc_id", "n_shingles", "component_id") == brute(docs)
+
+
+def test_sets_that_share_a_signature_get_the_other():
+    s = np.array([3, 5], np.uint64)
+    own = shingles.signature(s)
+    assert shingles.signature(s, frozenset({own})) == shingles.other_signature(s) != own
+    assert shingles.signature(s, frozenset({own + 1})) == own
+
+
+def test_one_of_each_acts_on_rows(spark):
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    docs = [(1, a), (2, a), (2, b), (2, c), (3, b), (4, None), (4, ""), (5, c), (5, c), (None, a), (None, prose(9, 40)), (None, prose(9, 40)), (6, prose(8, 40))]
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(table(spark, docs)).collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (2, c), (4, None), (4, ""), (None, prose(9, 40)), (6, prose(8, 40))], key=repr)
