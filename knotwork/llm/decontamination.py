@@ -84,13 +84,18 @@ def is_slot(t: Column) -> Column:
 
 
 def _plain(table: DataFrame, key: str) -> DataFrame:
+    """Key and text; a row is told from others of its key by its text, with two hashes of it."""
     return table.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def text_hash(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
+
+
 def _tokens(table: DataFrame, key: str, also: Callable[[Column], list[Column]]) -> DataFrame:
     """Key and what ``also`` makes of the tokens, which are computed once."""
     made = let(raw_tokens(F.col("text")), lambda t: F.struct(*also(t)))
-    return table.select(key, made.alias("made")).select(key, "made.*")
+    return table.select(key, text_hash(F.col("text")).alias("row"), made.alias("made")).select(key, "row", "made.*")
 
 
 def _windows_of(tokens: Column) -> Column:
@@ -115,9 +120,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_windows: int = LEAST_WIND
     Its item is also held if those and the other windows together are enough. An item of fewer than ``WINDOW`` tokens is
     one window, sought by its values and, with enough literals, as a template.
 
-    Null or empty texts: none. Null item ids are ignored; documents without id count as one document. Repeated rows, of
-    documents or items, change nothing. Empty tables: no rows. Other columns are ignored.
+    Null or empty texts: none. Null item ids are ignored. Rows of documents that share an id, or have none, are documents
+    of their own, each with its row here; of rows equal in id and text one counts. Repeated items change nothing. Empty
+    tables: no rows. Other columns are ignored.
     """
+    return _leaks(docs, benchmark, least_windows).drop("row")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, least_windows: int) -> DataFrame:
+    """``leaks``, with ``row``, the hash of the document's text."""
     items = _plain(benchmark, "item_id").filter("item_id is not null")
 
     def of_item(t: Column) -> list[Column]:
@@ -156,46 +167,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_windows: int = LEAST_WIND
         typed = F.when(has_slots(F.col("text")), template(t)).otherwise(t)
         return [let(F.struct(typed.alias("typed"), *([unmarked(t).alias("plain")] if by_values else [])), lists).alias("lists")]
 
-    hashes = _tokens(_plain(docs, "doc_id"), "doc_id", of_text).select("doc_id", F.explode("lists").alias("windows"))
-    met = hashes.select("doc_id", F.posexplode("windows").alias("pos", "hash")).join(right, "hash").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "exact")
-    aligned = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"), F.size(F.collect_set(F.expr("if(exact, null, item_pos)"))).alias("n_templates"))
+    hashes = _tokens(_plain(docs, "doc_id"), "doc_id", of_text).select("doc_id", "row", F.explode("lists").alias("windows"))
+    met = hashes.select("doc_id", "row", F.posexplode("windows").alias("pos", "hash")).join(right, "hash").select("doc_id", "row", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "exact")
+    aligned = met.groupBy("doc_id", "row", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"), F.size(F.collect_set(F.expr("if(exact, null, item_pos)"))).alias("n_templates"))
     least = lambda n: F.least(F.lit(least_windows), n)
     held = ((F.col("n_templates") > 0) & (F.col("n_templates") >= least(F.col("item_templates")))) | (F.col("n_windows") >= least(F.col("item_windows")))
     enough = aligned.withColumn("n_windows", F.size("at").cast("long")).join(n_items, "item_id").filter(held)
-    enough = enough.select("doc_id", "item_id", "shift", "at", "width", "n_windows", "item_windows")
+    enough = enough.select("doc_id", "row", "item_id", "shift", "at", "width", "n_windows", "item_windows")
     enough = written(enough, "alignments")
     slots = item_tokens.select("item_id", "raw", F.posexplode("typed").alias("item_pos", "type")).filter(is_slot(F.col("type"))).select("item_id", "item_pos", "type", F.get("raw", F.col("item_pos")).alias("value")).distinct()
     if slots.isEmpty():
         checked = enough.withColumn("n_slots", F.lit(0).cast("long")).withColumn("reparameterised", F.lit(False))
     else:
         checked = _consistent(docs, enough, slots, least_windows)
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("n_windows"), "reparameterised", "shift")
-    return checked.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "reparameterised")
+    best = Window.partitionBy("doc_id", "row", "item_id").orderBy(F.desc("n_windows"), "reparameterised", "shift")
+    return checked.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "reparameterised", "row")
 
 
 def _consistent(docs: DataFrame, enough: DataFrame, slots: DataFrame, least_windows: int) -> DataFrame:
     """Adds to alignments the number of slots compared, those inside windows that met, and whether they were changed;
     drops those that don't agree, unless enough of their windows have the item's own values."""
-    found = enough.join(slots.select("item_id").distinct(), "item_id", "left_semi").select("doc_id").distinct()
+    found = enough.join(slots.select("item_id").distinct(), "item_id", "left_semi").select("row").distinct()
     few = found.count() <= BROADCAST_ROWS
-    ids = found.withColumnRenamed("doc_id", "found_id")
-    own = _plain(docs, "doc_id")
-    texts = own.join(F.broadcast(ids) if few else ids, own["doc_id"].eqNullSafe(F.col("found_id")), "left_semi")
+    ids = found.withColumnRenamed("row", "found")
+    own = _plain(docs, "doc_id").withColumn("own_row", text_hash(F.col("text")))
+    texts = own.join(F.broadcast(ids) if few else ids, F.col("own_row") == F.col("found"), "left_semi")
 
     def of_doc(t: Column) -> list[Column]:
         typed = let(template(t), lambda x: F.transform(x, lambda y, i: F.struct(i.alias("pos"), y.alias("type"), F.get(t, i).alias("value"))))
         return [F.filter(typed, lambda s: is_slot(s["type"])).alias("slots")]
 
-    theirs = _tokens(texts, "doc_id", of_doc).select("doc_id", F.explode("slots").alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.type").alias("type"), F.col("s.value").alias("their")).distinct()
+    # what a text holds doesn't depend on its id
+    theirs = _tokens(texts, "doc_id", of_doc).select("row", F.explode("slots").alias("s")).select("row", F.col("s.pos").alias("pos"), F.col("s.type").alias("type"), F.col("s.value").alias("their")).distinct()
     inside = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("width") - 1))))
-    asked = enough.select("doc_id", "item_id", "shift", F.explode(inside).alias("item_pos")).join(slots, ["item_id", "item_pos"]).select("doc_id", "item_id", "shift", "type", "value", "item_pos", (F.col("item_pos") + F.col("shift")).alias("pos"))
-    a, b = asked.alias("a"), theirs.alias("b")
-    pairs = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.type") == F.col("b.type"))).select("a.doc_id", "item_id", "shift", "a.type", "value", "their", "item_pos")
+    asked = enough.select("row", "item_id", "shift", F.explode(inside).alias("item_pos")).join(slots, ["item_id", "item_pos"]).select("row", "item_id", "shift", "type", "value", "item_pos", (F.col("item_pos") + F.col("shift")).alias("pos"))
+    pairs = asked.distinct().join(theirs, ["row", "pos", "type"])
     other = F.collect_set(F.when(F.col("their") != F.col("value"), F.col("item_pos"))).alias("other")
-    by_value = pairs.groupBy("doc_id", "item_id", "shift", "type", "value").agg(F.count("*").alias("n"), (F.min("their") == F.max("their")).alias("one"), other)
-    verdict = by_value.groupBy("doc_id", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.bool_and("one").alias("agree"), F.flatten(F.collect_list("other")).alias("other"))
+    by_value = pairs.groupBy("row", "item_id", "shift", "type", "value").agg(F.count("*").alias("n"), (F.min("their") == F.max("their")).alias("one"), other)
+    verdict = by_value.groupBy("row", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.bool_and("one").alias("agree"), F.flatten(F.collect_list("other")).alias("other"))
     e, v = enough.alias("e"), verdict.alias("v")
-    on = F.col("e.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("e.item_id") == F.col("v.item_id")) & (F.col("e.shift") == F.col("v.shift"))
+    on = (F.col("e.row") == F.col("v.row")) & (F.col("e.item_id") == F.col("v.item_id")) & (F.col("e.shift") == F.col("v.shift"))
     touched = F.array_distinct(F.flatten(F.transform("v.other", lambda p: F.sequence(p - F.col("e.width") + 1, p))))
     own = F.size(F.array_except("e.at", touched))
     joined = e.join(v, on, "left").filter(F.coalesce("v.agree", F.lit(True)) | (own >= F.least(F.lit(least_windows), F.col("e.item_windows"))))
@@ -204,8 +215,9 @@ def _consistent(docs: DataFrame, enough: DataFrame, slots: DataFrame, least_wind
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a passage of an item; all columns are kept. Rows without id stay,
-    unless one of them holds a passage: they count as one document."""
-    bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct(), "leaks")
+    """``docs`` without the rows that hold a passage of an item; all columns are kept. Rows are told apart by id and text,
+    so that of rows that share an id, or have none, only those with a passage go."""
+    bad = written(_leaks(docs, benchmark, LEAST_WINDOWS).select(F.col("doc_id").alias("leaking_id"), "row").distinct(), "leaks")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leaking_id"]), "left_anti")
+    own = text_hash(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["leaking_id"]) & (own == bad["row"]), "left_anti")
