@@ -27,9 +27,9 @@ from .shingles import MASK, mix, other_signature, shingle_sets, signature
 WIDTH, BLOCKS, SIGMAS = 1 << 20, 16, 6.0
 #: Cells of the smallest bands, keys that a reducer takes, and bytes of sets that are verified beside one copy of a leader.
 LEAST_CELLS, BUCKET_KEYS, SALT_BYTES = 1024, 1 << 20, 16 << 20
-#: Keys of a part of a task's input, sets of one key in it that go by their first one to the reducer, and sets that are
-#: compared with each other at once.
-FLUSH, LOCAL, BLOCK_SETS = 1 << 21, 32, 1024
+#: Keys of a part of a task's input, sets of one key in it that go by their first one to the reducer, and least and
+#: greatest number of sets in a block; between them a group has eight blocks.
+FLUSH, LOCAL, BLOCK_SETS = 1 << 21, 32, (128, 2048)
 C1, C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -131,16 +131,18 @@ def _keys(frequent: Broadcast, n_buckets: int, clashes: frozenset[int]):
         def flush() -> pa.RecordBatch:
             k, s = np.concatenate(keys), np.repeat(np.array(sigs, np.int64), [len(x) for x in keys])
             bucket = (k % np.uint64(n_buckets)).astype(np.int64)
-            short = (k >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((s, short, bucket))
-            bucket, short, s = bucket[order], short[order], s[order]
-            new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (short[1:] != short[:-1])]))
-            ends = np.append(new[1:], len(s))
-            keep, hot = np.ones(len(s), bool), np.zeros(len(s), bool)
-            rows = []
-            for i, j in zip(new[ends - new > LOCAL].tolist(), ends[ends - new > LOCAL].tolist()):
-                keep[i + 1 : j], hot[i] = False, True
-                rows.append((-1 - int(s[i]) % n_buckets, None, None, None, packed(bucket[i], short[i]), np.unique(s[i:j])))
+            order = np.argsort(bucket, kind="stable")  # a set's keys stay together, which compresses well
+            bucket, short, s = bucket[order], (k >> np.uint64(32)).astype(np.uint32)[order], s[order]
+            keep, hot, rows = np.ones(len(s), bool), np.zeros(len(s), bool), []
+            slot = (short ^ bucket.astype(np.uint32)) & np.uint32(WIDTH - 1)
+            some = np.flatnonzero((np.bincount(slot, minlength=WIDTH) > LOCAL)[slot])  # the keys of more sets are among these
+            some = some[np.lexsort((s[some], short[some], bucket[some]))]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(bucket[some]) != 0) | (np.diff(short[some]) != 0)])) if len(some) else some
+            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(some)]):
+                if j - i > LOCAL:
+                    lead = some[i]
+                    keep[some[i + 1 : j]], hot[lead] = False, True
+                    rows.append((-1 - int(s[lead]) % n_buckets, None, None, None, packed(bucket[lead], short[lead]), np.unique(s[some[i:j]])))
             bucket, short, s, hot = bucket[keep], short[keep], s[keep], hot[keep]
             at = np.searchsorted(bucket, np.arange(n_buckets + 1))
             rows += [(b, short[i:j].tobytes(), s[i:j].tobytes(), np.flatnonzero(hot[i:j]).astype(np.int32).tobytes(), None, None) for b, i, j in zip(range(n_buckets), at, at[1:]) if i < j]
@@ -332,7 +334,7 @@ def _named(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     roots = written(components(first_links), "roots")
     # near copies share many keys, and mostly the first member: all groups of one first member are gone through once
     rooted = written(stars.select(F.col("a").alias("first"), F.col("b").alias("sig")).join(roots.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "rooted")
-    open_ = written(rooted.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("first", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks")), "open")
+    open_ = written(rooted.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("first", F.ceil(F.col("sets") / F.greatest(F.lit(BLOCK_SETS[0]), F.least(F.lit(BLOCK_SETS[1]), F.col("sets") / 8))).cast("int").alias("blocks")), "open")
     # a large group is compared by pairs of blocks, each a task's group of its own
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     across = rooted.join(_few(open_), "first").withColumn("block", block).join(ids.select("sig", "n", "sketch"), "sig")

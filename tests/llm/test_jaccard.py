@@ -160,7 +160,6 @@ def test_frequent_keys_go_past_the_reducer(monkeypatch):
                 hot.append((r["a"], r["b"], r["key"]))
             else:
                 pairs.add((r["a"], r["b"]))
-        largest = max([largest, *(len(r["sigs"]) // 8 for r in rows_ if r["bucket"] == bucket and r["sigs"])])
     pairs |= {(a, m) for a, b, k in hot for m in lists[b, k] if m != a}
     want, by = set(), {}
     for some in sets:
@@ -179,7 +178,7 @@ def test_a_large_group_is_compared_in_blocks(spark, monkeypatch):
     passage = prose(4, 12)
     docs = [(i, f"{passage} {prose(10_000 + i, 6)}") for i in range(300)]
     docs += [(1000 + i, f"{passage} {prose(10_000 + i, 6)} tail") for i in range(0, 300, 9)]
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 40)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", (20, 40))
     monkeypatch.setattr(jaccard_join, "LOCAL", 4)
     assert rows(jaccard_join.jaccard_components(table(spark, docs)), "doc_id", "n_shingles", "component_id") == brute(docs)
 
