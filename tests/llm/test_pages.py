@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 
 import pytest
 
@@ -53,19 +54,62 @@ def test_article_text_is_not_taken_for_template(spark):
     assert got(pages("c", ["<div>one page</div>"] * 6 + ["<div>one page</div><p>x</p>"], same_url=True))[0] == "one page"
     own = [prose(i, 30) for i in range(8)]
     assert got(pages("d", [f"<div>same box</div><p>p{i}</p><div>{t}</div>" for i, t in enumerate(own)])) == {i: f"p{i} {t}" for i, t in enumerate(own)}
-    many = "".join(f"<h3>h</h3><p>q{k}</p>" for k in range(150))
-    w = html_extract.aligned(html_extract.tree(many).kids, html_extract.tree("<div>only here</div>").kids)
-    assert all(n.lo == 0 for n in w)
+
+
+def merged(*pages):
+    """The wrapper's places by path of labels."""
+    names, by = {}, html_extract.wrapper(pages)
+    for p in pages:
+        stack = [0]
+        for kind, value, inline in html_extract.events(p):
+            if kind == "open" and not inline:
+                stack.append((stack[-1] * html_extract.PATH_BASE + html_extract.label_hash(value) + 1) % html_extract.PRIME)
+                names[stack[-1]] = f"{names.get(stack[-2], '')}/{value}"
+            elif kind == "close" and not inline:
+                stack.pop()
+    return {names.get(k, ""): x for k, x in by.items()}
 
 
 def test_wrapper_has_optional_and_repeated_groups():
-    a, b = (html_extract.tree(f"<body><div><p>x{k}</p>{extra}</div></body>") for k, extra in ((1, "<p>y</p>"), (2, "<table><tr><td>1</table>")))
-    w = html_extract.merged(a, b, False)
-    p, t = w.kids[0].kids[0].kids
-    assert (p.label, p.lo, p.hi, p.text) == ("p", 1, 2, None)
-    assert (t.label, t.lo, t.hi) == ("table", 0, 1)
-    assert html_extract.Node.of(w.state()).state() == w.state()
-    assert html_extract.main_text("<div>" * 5000 + "deep", html_extract.decided(html_extract.tree("<div>" * 5000 + "deep"), 1)) == "deep"
+    pages = [f"<body><div><p>x{k}</p>{extra}</div></body>" for k, extra in ((1, "<p>y</p>"), (2, "<table><tr><td>1</table>"), (3, ""))]
+    w = merged(*pages)
+    p, t, d = w["/body/div/p"], w["/body/div/table"], w["/body/div"]
+    assert (p.pages, p.once, p.most) == (3, 2, 2)
+    assert (t.pages, t.most) == (1, 1)
+    assert d.pages == 3 and len(d.texts) == 3
+    for order in itertools.permutations(pages):
+        assert {k: (x.pages, x.once, x.most, x.length, sorted(map(str, x.texts.items()))) for k, x in merged(*order).items()} == {k: (x.pages, x.once, x.most, x.length, sorted(map(str, x.texts.items()))) for k, x in w.items()}
+    assert merged(pages[0], pages[0])["/body/div"].pages == 1
+
+
+def test_the_wrapper_tells_template_from_content(spark):
+    """Hosts of plain elements, where no label says what is main: the wrapper alone drops the menus and footers."""
+
+    def got(pages):
+        return dict(rows(html_extract.extract(table(spark, pages, COLUMNS)), "page_id", "text"))
+
+    own = [prose(i, 40) for i in range(6)]
+    plain = [(i, f"https://plain/{i}", f"<body><div><div><a>Home</a> <a>News {'' if i else 'x'}</a></div><div><b>All of us</b><p>since 1999</p></div></div><div><p>{t}</p><p>p{i}</p></div><table><tr><td>imprint</td></tr></table></body>") for i, t in enumerate(own)]
+    expected = {i: f"{'Home News x ' if i == 0 else ''}{t} p{i}" for i, t in enumerate(own)}
+    assert got(plain) == expected
+    assert all(html_extract.main_text(p[2], frozenset(), frozenset()) != expected[p[0]] for p in plain)
+    # equal pages and pages that differ by a stamp are no evidence; a passage on a few pages is none either
+    same = [(i, f"https://same/{i}", f"<body><div><p>{own[0]}</p></div></body>") for i in range(8)]
+    assert got(same) == dict.fromkeys(range(8), own[0])
+    stamped = [(i, f"https://stamp/{i}", f"<body><div><p>{own[0]}</p></div><div>{i}</div></body>") for i in range(8)]
+    assert got(stamped) == {i: f"{own[0]} {i}" for i in range(8)}
+    quoted = [(i, f"https://quote/{i}", f"<body><article><p>{own[1] if i < 5 else own[2]}</p><p>{prose(50 + i, 60)}</p></article></body>") for i in range(8)]
+    assert got(quoted) == {i: f"{own[1] if i < 5 else own[2]} {prose(50 + i, 60)}" for i in range(8)}
+    # a box in an article, comments as articles, words that say nothing of a paragraph
+    boxed = [(i, f"https://box/{i}", f"<body><article><p class='legal'>{t}</p><div>Join us now</div><p>p{i}</p></article><article class='comment'><p>{prose(90 + i, 9)}</p></article></body>") for i, t in enumerate(own)]
+    assert got(boxed) == {i: f"{t} p{i}" for i, t in enumerate(own)}
+
+
+def test_deep_and_broken_pages(spark):
+    deep = "<div>" * 50_000 + "deep"
+    ends = "<div>" * 8000 + "text" + "</x>" * 8000
+    got = dict(rows(html_extract.extract(table(spark, [(1, "https://d/1", deep), (2, "https://d/2", ends)], COLUMNS)), "page_id", "text"))
+    assert got == {1: "deep", 2: "text"}
 
 
 def test_warc_round_trip(spark):
