@@ -65,3 +65,10 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def n_parts(df: DataFrame, part_bytes: int, text: str = "text") -> int:
+    """Partitions for the texts of ``df``: as many as the session shuffles to, or more if these would be larger than
+    ``part_bytes``."""
+    size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))

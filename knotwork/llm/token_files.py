@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, new_path, texts, written
+from .common import file_system, n_parts, new_path, texts, written
 from .encoding import encoder
 
-#: Ids of a sequence, and sequences of an Arrow batch.
-LENGTH, ROWS = 2048, 256
+#: Ids of a sequence, sequences of an Arrow batch, and bytes of text of a file at most, as far as documents can be dealt.
+LENGTH, ROWS, FILE_BYTES = 2048, 256, 256 << 20
 MANIFEST = "part int, file string, first bigint, n_docs bigint, n_tokens bigint"
 
 
@@ -34,6 +34,7 @@ class Writer:
         self.out, self.index_out = fs.open_output_stream(path), fs.open_output_stream(path + ".index")
         self.file, self.index = pa.ipc.new_stream(self.out, self.schema), pa.ipc.new_stream(self.index_out, self.index_schema)
         self.waiting, self.n_waiting, self.n, self.docs = [], 0, 0, []
+        self.offsets, self.path, self.fs = [], path, fs
         self.n_docs = 0
 
     def add(self, doc_id, ids: np.ndarray) -> None:
@@ -54,6 +55,7 @@ class Writer:
     def _batch(self, flat: np.ndarray, real: int) -> None:
         mask = np.arange(len(flat)) < real
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t) for x, t in ((flat, self.schema.field(0).type), (mask, self.schema.field(1).type))]
+        self.offsets.append(self.out.tell())
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def _index(self) -> None:
@@ -68,6 +70,8 @@ class Writer:
         self._index()
         for x in (self.file, self.index, self.out, self.index_out):
             x.close()
+        with self.fs.open_output_stream(self.path + ".offsets") as f:
+            f.write(np.array(self.offsets, "<i8").tobytes())
 
 
 def _write(tokenizer_path: str, to: str, end_id: int, length: int):
@@ -94,13 +98,13 @@ def _write(tokenizer_path: str, to: str, end_id: int, length: int):
 def write_token_files(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """Writes the ids of all ``docs`` (doc_id, text) in ascending doc_id order, null doc_ids first; returns the manifest.
 
-    One pair of files per range of doc_ids. The manifest (part, file, first, n_docs, n_tokens), written as a table,
+    One set of files per range of doc_ids: the sequences, an index of documents, and where in the file each batch begins,
+    for random access. The manifest (part, file, first, n_docs, n_tokens), written as a table,
     names the files of the attempts that succeeded, so lost executors leave at most files that nobody names. Null or
     empty text: the end id alone. Rows of equal doc_id stay next to each other. No rows: no files.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = texts(docs).repartitionByRange(n_parts(docs, FILE_BYTES), "doc_id").sortWithinPartitions("doc_id")
     return written(ordered.mapInArrow(_write(tokenizer_path, to, end_id, length), MANIFEST), "manifest")
 
 
@@ -143,6 +147,26 @@ def sequences(path: str) -> pa.Table:
         return pa.ipc.open_stream(f).read_all()
 
 
+def sequence(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and mask of sequence ``k`` of a file in any store, from its batch alone: one read of the file's offsets, one
+    of its schema, and one of the batch, whose buffers the arrays share."""
+    fs, at = file_system(path)
+    with fs.open_input_file(at + ".offsets") as f:
+        f.seek(k // ROWS * 8)
+        begin = int(np.frombuffer(f.read(8), "<i8")[0])
+    with fs.open_input_file(at) as f:
+        schema = pa.ipc.read_schema(f)
+        f.seek(begin)
+        message = pa.ipc.read_message(f)
+        if message.type == "schema":  # it is written along with the first batch
+            message = pa.ipc.read_message(f)
+        batch = pa.ipc.read_record_batch(message, schema)
+    ids, mask = (batch.column(c)[k % ROWS].values for c in (0, 1))
+    return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+
+
 def written_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
+    """Writes token files into the shared folder and gives what ``read_token_files`` reads; nulls, repeated rows and
+    empty tables as in ``write_token_files``."""
     spark = docs.sparkSession
     return read_token_files(spark, write_token_files(docs, tokenizer_path, new_path(spark, "token-files"), end_id, length))

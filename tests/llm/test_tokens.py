@@ -11,7 +11,7 @@ from knotwork.llm import packing, token_counts, token_files
 from knotwork.llm.common import new_path
 from knotwork.llm.encoding import Encoder
 
-from .helpers import rows, table, texts
+from .helpers import prose, rows, table, texts
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 NASTY = ["", " ", "\n", " a", "a ", "a  b", "a\n\nb", "a \nb", "a\n b", "x\t y", "  z", "a\0b", "'s't", "it's,,, 'S", "ΑΣ. Σ", "<|endoftext|>", "a<|endoftext|>.", "<|STARTOFTEXT|>, b", "é. É,", "ǅ. ǅ", "3.5, 4!", "...", "..., a", "İ. İ", "ß. ß", "́ a", "a ́."]
@@ -87,3 +87,15 @@ def test_token_files_round_trip(spark):
         assert {len(x) for x in s.column("ids").to_pylist()} == {64}
         assert sum(map(sum, s.column("mask").to_pylist())) == f["n_tokens"]
     assert token_files.written_and_read(table(spark, []), BYTE).collect() == []
+
+
+def test_a_sequence_is_read_by_its_offset(spark):
+    docs = table(spark, [(i, prose(i, 2000)) for i in range(60)])
+    to = new_path(spark, "sequences")
+    files = token_files.write_token_files(docs, BYTE, to, 2, 16).collect()
+    for f in files:
+        whole = token_files.sequences(f["file"].removeprefix("file://"))
+        assert len(whole) > token_files.ROWS
+        for k in (0, 1, token_files.ROWS - 1, token_files.ROWS, len(whole) - 1):
+            ids, mask = token_files.sequence(f["file"], k)
+            assert ids.tolist() == whole.column("ids")[k].as_py() and mask.tolist() == whole.column("mask")[k].as_py()
