@@ -16,6 +16,8 @@ from .encoding import encoder
 
 #: Pieces of one island; islands of a shard; rounds with a migration between them; and each island's effort in a round.
 SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 4, 8
+#: Islands that a task takes at least, if there are many: 13 million shards of 100 TB are not as many tasks.
+ISLANDS_A_TASK = 64
 #: Bins filled less than this leave their shard and are packed again with those of other shards.
 WELL_FILLED, AGAIN = 0.97, 2
 
@@ -158,8 +160,9 @@ def _packed(items: DataFrame, capacity: int) -> DataFrame:
     n = max(1, -(-items.count() // SHARD))
     shards = items.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(n))).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("x"))
     state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("x.uid").alias("uid"), F.col("x.length").alias("length"), F.array().cast("array<array<int>>").alias("elites"))
+    tasks = min(n * ISLANDS, max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * ISLANDS // ISLANDS_A_TASK)))
     for epoch in range(EPOCHS):
-        state = written(state.repartition(n * ISLANDS, "shard", "island").mapInPandas(_island(capacity, epoch), _STATE), f"islands-{epoch}")
+        state = written(state.repartition(tasks, "shard", "island").mapInPandas(_island(capacity, epoch), _STATE), f"islands-{epoch}")
         if epoch < EPOCHS - 1:
             migrant = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("bins").alias("migrant"))
             state = state.join(migrant, ["shard", "island"]).select("shard", "island", "uid", "length", F.array("bins", "migrant").alias("elites"))
