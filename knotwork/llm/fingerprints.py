@@ -11,10 +11,12 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import n_parts, written
 
 #: Seeds of the 64-bit hashes that make up a fingerprint.
 SEEDS = (1, 2, 3, 4)
+#: Bytes of text in a range of ids.
+RANGE_BYTES = 64 << 20
 #: Hangul syllables are composed by arithmetic: the first syllable, and the first lead, vowel and tail with their numbers.
 HANGUL, LEAD, VOWEL, TAIL = 0xAC00, (0x1100, 19), (0x1161, 21), (0x11A7, 28)
 
@@ -145,6 +147,21 @@ def _near(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(0.0)
 
 
+def _constants(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _number(x: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are at or below ``x``: counted among every k-th of them, then among the k after
+    that one, k about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    k = max(1, int(len(bounds) ** 0.5))
+    count = lambda some: F.size(F.filter(some, lambda b: b <= x))
+    block = count(_constants(bounds[k - 1 :: k])) if len(bounds) >= k else F.lit(0)
+    return block * k + count(F.slice(_constants(bounds), block * k + 1, F.lit(k)))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of each row.
 
@@ -159,10 +176,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(own.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []))
-    # the number of bounds at or below the id, by bisection on a table of constants
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
+    n = n_parts(docs, RANGE_BYTES)
+    bounds = sorted(set(own.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
+    at = _number(F.col("doc_id"), bounds)
     ranged = own.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(at))
     firsts = sorted((r["part"], r["first"]) for r in ranged.groupBy("part").agg(F.min("doc_id").alias("first")).collect())
     if not firsts:
