@@ -168,7 +168,9 @@ def write_warc(pages: DataFrame, to: str, least_bytes: int = 1000) -> DataFrame:
     large = own.filter(F.octet_length("html") >= least_bytes)
     twice = large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).filter("n > 1 and last is not null").select("digest", "last")
     revisit = F.when((F.col("page_id") < F.col("last")), F.col("last"))
-    dealt = own.join(twice, "digest", "left").select("page_id", "url", "html", "digest", revisit.alias("refers_to"))
+    # small payloads are never revisits: they have no key, so equal ones don't meet in one task
+    key = F.when(F.octet_length("html") >= least_bytes, F.col("digest"))
+    dealt = own.withColumn("key", key).join(twice.withColumnRenamed("digest", "key"), "key", "left").select("page_id", "url", "html", "digest", revisit.alias("refers_to"))
     return written(dealt.mapInArrow(_write(to), "file string, n_records bigint"), "warc-manifest")
 
 
@@ -209,5 +211,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def archived(pages: DataFrame) -> DataFrame:
+    """Writes archives into the shared folder and gives what ``read_warc`` reads; nulls, repeated rows and empty tables
+    as in ``write_warc``."""
     spark = pages.sparkSession
     return read_warc(spark, write_warc(pages, new_path(spark, "warc")))
