@@ -1,7 +1,6 @@
 """The registered queries of the graph operators, each with its SQL for DuckDB.
 
-The graph is that of parts ordered together in quantities of 40 or more; labels are A to E by part number. A query of
-edges alone is also registered with ``full_`` before its name, on the graph of all rows and without SQL.
+The graph is that of parts ordered together, of all rows of lineitem; labels are A to E by part number.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ ORACLES: dict[str, str] = {}
 
 #: Common table expressions: edges, both directions, degrees, oriented edges and triangles.
 BASE = """
-li AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS v FROM lineitem WHERE l_quantity >= 40),
+li AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS v FROM lineitem),
 e AS (SELECT DISTINCT a.v AS src, b.v AS dst FROM li a JOIN li b USING (g) WHERE a.v < b.v),
 s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
 d AS (SELECT src AS id, count(*) AS degree FROM s GROUP BY 1),
@@ -58,7 +57,7 @@ def query(name: str, select: str | None = None, more: str = "", recursive: bool
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.co_occurrence(spark, sf_dir)
+    return source.co_occurrence(spark, sf_dir, None)
 
 
 def _labels(e: DataFrame) -> DataFrame:
@@ -66,10 +65,8 @@ def _labels(e: DataFrame) -> DataFrame:
 
 
 def _on_edges(name: str, f: Callable[[DataFrame], DataFrame], select: str | None, more: str = "", recursive: bool = False) -> None:
-    """A query of the edges alone, and the same on the full graph. They are written once, as most operators read them
-    several times."""
+    """A query of the edges alone, which are written once, as most operators read them several times."""
     query(name, select, more, recursive)(lambda spark, sf_dir: f(written(_edges(spark, sf_dir))))
-    query(f"full_{name}")(lambda spark, sf_dir: f(written(source.co_occurrence(spark, sf_dir, None))))
 
 
 def _joined(column: str) -> F.Column:
@@ -117,39 +114,45 @@ _on_edges(
        FROM (SELECT count(*) AS n, max(degree) AS x FROM d), (SELECT count(*) AS m FROM e), (SELECT count(*) AS c FROM t), (SELECT round(avg(lcc), 9) AS l FROM lcc)""",
 )
 
-_PEEL = f"""r AS (SELECT 0 AS i, k, src, dst FROM s, range(1, 13) x(k) UNION ALL
-  SELECT i + 1, k, src, dst FROM (SELECT i, k, src, dst, count(*) OVER (PARTITION BY k, src) AS ds, count(*) OVER (PARTITION BY k, dst) AS dd FROM r)
-  WHERE ds >= k AND dd >= k AND i < {ROUNDS}),
-core AS (SELECT src AS id, max(k) AS core FROM r WHERE i = {ROUNDS} GROUP BY 1)"""
-for _k in (3, 4, 5):
-    _on_edges(f"k_core_{_k}", lambda e, k=_k: cores.k_core(e, k), f"SELECT DISTINCT src, dst FROM r WHERE i = {ROUNDS} AND k = {_k} AND src < dst", _PEEL, True)
-_on_edges("k_core_4_two_rounds", lambda e: cores.k_core(e, 4, max_iter=2), "SELECT DISTINCT src, dst FROM r WHERE i = 2 AND k = 4 AND src < dst", _PEEL, True)
-_on_edges("core_numbers", cores.core_numbers, "SELECT id, core FROM core", _PEEL, True)
-_on_edges("core_histogram", lambda e: cores.core_numbers(e).groupBy("core").agg(F.count("*").alias("vertices")), "SELECT core, count(*) AS vertices FROM core GROUP BY 1", _PEEL, True)
+#: Core numbers: each vertex takes the h-index of its neighbours' values, from degrees downwards.
+_CORE = f"""h AS (SELECT 0 AS i, id, degree AS core FROM d UNION ALL
+  SELECT i + 1, id, max(least(core, rk)) FROM (SELECT h.i, s.src AS id, h.core, row_number() OVER (PARTITION BY s.src ORDER BY h.core DESC) AS rk FROM h JOIN s ON s.dst = h.id)
+  WHERE i < {ROUNDS} GROUP BY i, id),
+core AS MATERIALIZED (SELECT id, core FROM h WHERE i = {ROUNDS})"""
+_IN_CORE = "SELECT src, dst FROM e JOIN core a ON a.id = src JOIN core b ON b.id = dst WHERE a.core >= {k} AND b.core >= {k}"
+#: Two rounds of peeling.
+_PEEL = """r AS (SELECT 0 AS i, src, dst FROM s UNION ALL
+  SELECT i + 1, src, dst FROM (SELECT i, src, dst, count(*) OVER (PARTITION BY src) AS ds, count(*) OVER (PARTITION BY dst) AS dd FROM r)
+  WHERE ds >= {k} AND dd >= {k} AND i < 2)"""
+for _k in (3, 4, 5, 75, 90):
+    _on_edges(f"k_core_{_k}", lambda e, k=_k: cores.k_core(e, k), _IN_CORE.format(k=_k), _CORE, True)
+for _k in (4, 90):
+    _on_edges(f"k_core_{_k}_two_rounds", lambda e, k=_k: cores.k_core(e, k, max_iter=2), "SELECT DISTINCT src, dst FROM r WHERE i = 2 AND src < dst", _PEEL.format(k=_k), True)
+_on_edges("core_numbers", cores.core_numbers, "SELECT id, core FROM core", _CORE, True)
+_on_edges("core_histogram", lambda e: cores.core_numbers(e).groupBy("core").agg(F.count("*").alias("vertices")), "SELECT core, count(*) AS vertices FROM core GROUP BY 1", _CORE, True)
 _on_edges(
     "max_core",
     lambda e: cores.max_core(e, start=1, step=1).select("k", "vertices").distinct(),
-    "SELECT k::INTEGER AS k, count(*) AS vertices FROM range(1, 13) x(k) JOIN core ON core >= k GROUP BY 1",
-    _PEEL,
+    "SELECT k::INTEGER AS k, count(*) AS vertices FROM range(1, (SELECT max(core) + 1 FROM core)) x(k) JOIN core ON core >= k GROUP BY 1",
+    _CORE,
     True,
 )
-_PEEL_T = """q AS (SELECT 0 AS i, k, u, v, w FROM t, range(1, 13) x(k) UNION ALL
-  SELECT i + 1, k, u, v, w FROM (SELECT i, k, u, v, w, n, min(c) OVER (PARTITION BY k, u, v, w) AS m FROM (
-    SELECT i, k, u, v, w, n, count(*) OVER (PARTITION BY k, a, b) AS c FROM (
-      SELECT i, k, u, v, w, n, CASE n WHEN 0 THEN least(u, v) WHEN 1 THEN least(u, w) ELSE least(v, w) END AS a,
-             CASE n WHEN 0 THEN greatest(u, v) WHEN 1 THEN greatest(u, w) ELSE greatest(v, w) END AS b
-      FROM q, (VALUES (0), (1), (2)) y(n))))
-  WHERE n = 0 AND m >= k AND i < 40),
-qe AS (SELECT k, least(u, v) AS src, greatest(u, v) AS dst FROM q WHERE i = 40 UNION ALL SELECT k, least(u, w), greatest(u, w) FROM q WHERE i = 40
-       UNION ALL SELECT k, least(v, w), greatest(v, w) FROM q WHERE i = 40)"""
-_LEVELS = "SELECT src, dst, max(k) AS level, max(k) + 2 AS trussness FROM qe GROUP BY 1, 2"
-for _k in (3, 4, 5):
-    _on_edges(f"k_truss_{_k}", lambda e, k=_k: trusses.k_truss(e, k), f"SELECT src, dst, count(*) AS support FROM qe WHERE k = {_k - 2} GROUP BY 1, 2", _PEEL_T, True)
-_on_edges("k_truss_4_relist", lambda e: trusses.k_truss(e, 4, method="relist"), "SELECT src, dst, count(*) AS support FROM qe WHERE k = 2 GROUP BY 1, 2", _PEEL_T, True)
-_on_edges("k_truss_4_full_core", lambda e: trusses.k_truss(e, 4, core_rounds=None), "SELECT src, dst, count(*) AS support FROM qe WHERE k = 2 GROUP BY 1, 2", _PEEL_T, True)
-_on_edges("truss_levels", trusses.truss_levels, _LEVELS, _PEEL_T, True)
-_on_edges("max_truss", trusses.max_truss, _LEVELS, _PEEL_T, True)
-_on_edges("truss_histogram", lambda e: trusses.truss_histogram(trusses.max_truss(e)), f"SELECT level, count(*) AS edges FROM ({_LEVELS}) GROUP BY 1", _PEEL_T, True)
+#: Truss levels: each edge takes the h-index, over its triangles, of the lesser value of the other two edges.
+_LEVEL = f"""te3 AS MATERIALIZED (SELECT src, dst, least(src, apex) AS a, greatest(src, apex) AS b, least(dst, apex) AS x, greatest(dst, apex) AS y FROM te),
+z AS (SELECT 0 AS i, src, dst, count(*) AS level FROM te GROUP BY src, dst UNION ALL
+  SELECT i + 1, src, dst, max(least(level, rk)) FROM (SELECT i, src, dst, level, row_number() OVER (PARTITION BY src, dst ORDER BY level DESC) AS rk FROM (
+    SELECT p.i, te3.src, te3.dst, least(p.level, o.level) AS level FROM te3 JOIN z p ON p.src = te3.a AND p.dst = te3.b JOIN z o ON o.src = te3.x AND o.dst = te3.y)) WHERE i < {ROUNDS} GROUP BY i, src, dst),
+lv AS MATERIALIZED (SELECT src, dst, level FROM z WHERE i = {ROUNDS})"""
+_LEVELS = "SELECT src, dst, level, level + 2 AS trussness FROM lv"
+_TRUSS = """SELECT te3.src, te3.dst, count(*) AS support FROM te3 JOIN lv l ON l.src = te3.src AND l.dst = te3.dst JOIN lv p ON p.src = te3.a AND p.dst = te3.b JOIN lv o ON o.src = te3.x AND o.dst = te3.y
+WHERE l.level >= {s} AND p.level >= {s} AND o.level >= {s} GROUP BY 1, 2"""
+for _k in (3, 4, 5, 8):
+    _on_edges(f"k_truss_{_k}", lambda e, k=_k: trusses.k_truss(e, k), _TRUSS.format(s=_k - 2), _LEVEL, True)
+_on_edges("k_truss_4_relist", lambda e: trusses.k_truss(e, 4, method="relist"), _TRUSS.format(s=2), _LEVEL, True)
+_on_edges("k_truss_4_full_core", lambda e: trusses.k_truss(e, 4, core_rounds=None), _TRUSS.format(s=2), _LEVEL, True)
+_on_edges("truss_levels", trusses.truss_levels, _LEVELS, _LEVEL, True)
+_on_edges("max_truss", trusses.max_truss, _LEVELS, _LEVEL, True)
+_on_edges("truss_histogram", lambda e: trusses.truss_histogram(trusses.max_truss(e)), f"SELECT level, count(*) AS edges FROM ({_LEVELS}) GROUP BY 1", _LEVEL, True)
 
 
 def _pattern_sql(q: Query, default: bool) -> tuple[str, str]:
@@ -159,11 +162,13 @@ def _pattern_sql(q: Query, default: bool) -> tuple[str, str]:
     first, *rest = q.order()
     more, placed = [f"m0 AS MATERIALIZED (SELECT id AS v{first} FROM lab WHERE true{label(first, 'lab')})"], [first]
     for i, v in enumerate(rest):
-        ties = [u for u in placed if q.joined(u, v)]
-        sql = f"SELECT m.*, e{ties[0]}.dst AS v{v} FROM m{i} m JOIN s e{ties[0]} ON e{ties[0]}.src = m.v{ties[0]} JOIN lab ON lab.id = e{ties[0]}.dst{label(v, 'lab')}"
-        for u in ties[1:]:
-            sql += f" JOIN s e{u} ON e{u}.src = m.v{u} AND e{u}.dst = e{ties[0]}.dst"
-        more.append(f"m{i + 1} AS MATERIALIZED ({sql} WHERE {' AND '.join(f'm.v{u} <> e{ties[0]}.dst' for u in placed)})")
+        first, *others = [u for u in placed if q.joined(u, v)]
+        apart = " AND ".join(f"m.v{u} <> s.dst" for u in placed)
+        last = f"m{i + 1}" if not others else f"m{i + 1}_{others[0]}"
+        more.append(f"{last} AS MATERIALIZED (SELECT m.*, s.dst AS v{v} FROM m{i} m JOIN s ON s.src = m.v{first} JOIN lab ON lab.id = s.dst{label(v, 'lab')} WHERE {apart})")
+        for u, then in zip(others, [*(f"m{i + 1}_{x}" for x in others[1:]), f"m{i + 1}"]):
+            more.append(f"{then} AS MATERIALIZED (SELECT m.* FROM {last} m JOIN s ON s.src = m.v{u} AND s.dst = m.v{v})")
+            last = then
         placed.append(v)
     return f"SELECT count(*) AS embeddings FROM m{len(rest)}", ", ".join(more)
 
@@ -246,16 +251,3 @@ def edges_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_undirected(_edges(spark, sf_dir), path)
     return source.canonical(source.edges_from_text(spark, path))
 
-
-@query("dense_k_core_16", f"SELECT DISTINCT src, dst FROM r WHERE i = {ROUNDS} AND src < dst", "", True)
-def dense_k_core_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The denser graph of quantities of 25 and more."""
-    return cores.k_core(written(source.co_occurrence(spark, sf_dir, 25)), 16)
-
-
-ORACLES["dense_k_core_16"] = f"""WITH RECURSIVE li AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS v FROM lineitem WHERE l_quantity >= 25),
-e AS (SELECT DISTINCT a.v AS src, b.v AS dst FROM li a JOIN li b USING (g) WHERE a.v < b.v),
-r AS (SELECT 0 AS i, src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) UNION ALL
-  SELECT i + 1, src, dst FROM (SELECT i, src, dst, count(*) OVER (PARTITION BY src) AS ds, count(*) OVER (PARTITION BY dst) AS dd FROM r)
-  WHERE ds >= 16 AND dd >= 16 AND i < {ROUNDS})
-SELECT DISTINCT src, dst FROM r WHERE i = {ROUNDS} AND src < dst"""

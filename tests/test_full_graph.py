@@ -1,4 +1,4 @@
-"""Queries on the full co-purchase graph: the rows of a small table that the filter of the others would drop count."""
+"""Queries on a small table made by hand: hubs, repeated parts of an order, a quantity that is missing."""
 
 import duckdb
 import pytest
@@ -7,8 +7,6 @@ from knotwork.queries import ORACLES, QUERIES
 
 from .test_oracles import rows
 
-NAMES = ("edges", "triangles", "local_cc", "k_core_4", "k_truss_4", "core_numbers", "max_truss", "pattern_q1", "star_index", "part_links")
-
 
 @pytest.fixture(scope="module")
 def small(tmp_path_factory):
@@ -21,18 +19,17 @@ def small(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_full_query_equals_the_sql_of_all_rows(spark, small, name):
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"part_labels"}))
+def test_query_on_all_rows_equals_its_sql(spark, small, name):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW lineitem AS FROM '{small}/lineitem.parquet'")
-    want = db.sql(ORACLES[name].replace(" WHERE l_quantity >= 40", ""))
-    df = QUERIES[f"full_{name}"](spark, small)
+    want = db.sql(ORACLES[name])
+    df = QUERIES[name](spark, small)
     got, want = rows(df.columns, [tuple(r) for r in df.collect()]), rows(want.columns, want.fetchall())
-    assert len(got) == len(want) > 0
+    assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g == pytest.approx(w, abs=1e-9) if any(isinstance(x, float) for x in g) else g == w
 
 
-def test_every_query_of_edges_has_a_full_one():
-    assert all(f"full_{n}" in QUERIES for n in ("power_partitions", "hierarchical_partitions", "graph_stats", *NAMES))
-    assert not any(n.startswith("full_") for n in ORACLES)
+def test_no_query_leaves_rows_out():
+    assert not any("l_quantity" in sql for sql in ORACLES.values())

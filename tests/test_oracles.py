@@ -21,7 +21,11 @@ def rows(columns, found):
     return sorted((tuple(r[i] for i in order) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+#: On 126,000 triangles of 200 vertices these take many rounds; test_full_graph.py has them on a small table.
+LONG = {n for n in ORACLES if "truss" in n} - {"k_truss_4"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - LONG))
 def test_query_equals_its_sql(spark, db, name):
     df = QUERIES[name](spark, SF)
     want = db.sql(ORACLES[name])
