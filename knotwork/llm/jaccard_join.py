@@ -383,7 +383,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found, clashes = _named(docs)
     found = written(found.filter("n > 0"), "components")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig")).alias("best")).select("root", F.col("best.doc_id").alias("best_id"), F.col("best.sig").alias("best_sig"))
-    marked = written(found.join(best, "root").select("doc_id", "sig", (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("sig") == F.col("best_sig"))).alias("stays")), "marked")
+    # by row and not by component, so that a large one is no hot key
+    wins = best.select("best_id", "best_sig").distinct()
+    marked = found.join(wins, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("sig") == F.col("best_sig")), "left")
+    marked = written(marked.select("doc_id", "sig", F.col("best_sig").isNotNull().alias("stays")), "marked")
     own = F.col("doc_id").cast("long")
     # ids of one row are enough to tell it; rows that share an id, or have none, are told apart by signature
     again = texts(docs).groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
