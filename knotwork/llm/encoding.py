@@ -20,6 +20,7 @@ from .memory import trim
 
 #: A space or line feed beside other white space: such texts are cut by the stricter pattern.
 RUN = re.compile(r"[ \n]\s|\s[ \n]|\0")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Marks at the end of a segment, after a letter, are tokens of their own.
 MARKS = ".,;:!?#%&*$"
@@ -63,8 +64,11 @@ class Encoder:
     def of(self, text: str) -> list[str]:
         if not self.can_cut:
             return [text]
-        cut = segments(text)
-        return [s.lstrip(" \n") for s in cut] if self.strip else cut
+        if not self.strip:
+            return segments(text)
+        if SEPARATORS.search(text):  # white space for Python, but not for the library
+            return [s.lstrip(" \n") for s in segments(text)]
+        return text.split()
 
     def _library(self, some: list[str]) -> dict[str, bytes]:
         out = {}
