@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return the
 columns of documents. The language model, near-copy search, template windows, randomness tests and packing can't be
-said in SQL; ``tests/llm/test_pipeline.py`` holds each stage against a brute-force version.
+said in SQL; ``tests/llm`` holds their operators against brute force, and the stages against planted cases.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that with the smallest id."""
+    """Keeps one row of each group of near copies, that with the smallest id."""
     return jaccard_join.one_of_each(docs)
 
 
@@ -52,6 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on the whole table of documents, each written and read again; null texts go with the first stage, an
+    empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
