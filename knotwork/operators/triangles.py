@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import written
 from .graph import before, orient
+from .listing import listed
 
 
 def wedges(oriented: DataFrame) -> DataFrame:
@@ -18,8 +19,7 @@ def wedges(oriented: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame, by: str = "degree") -> DataFrame:
     """``u, v, w`` in the order, each triangle once: wedges that an edge from v to w closes."""
-    o = written(orient(edges, by)) if by == "degree" else edges.select("src", "dst", F.lit(0).alias("src_deg"), F.lit(0).alias("dst_deg"))
-    return wedges(o).join(o.select(F.col("src").alias("v"), F.col("dst").alias("w")), ["v", "w"]).select("u", "v", "w")
+    return listed(written(orient(edges).select("src", "dst")) if by == "degree" else edges)
 
 
 def triangle_edges(t: DataFrame) -> DataFrame:
