@@ -2,11 +2,12 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from knotwork.operators import listing, triangles
+from knotwork.operators import cores, listing, peeling, triangles, trusses
 from knotwork.sources import edges as source
 
 
@@ -50,3 +51,42 @@ def test_packed_lists():
     ids, sizes, flat = (np.array(x, np.int64) for x in (list(lists), [len(x) for x in lists.values()], sum(lists.values(), [])))
     for got, want in zip(listing.unpack_lists(listing.pack_lists(ids, sizes, flat)), (ids, sizes, flat)):
         assert got.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("part_rows", [30, 200, 10_000])
+def test_core_numbers_of_parts(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(cores, "PART_ROWS", part_rows)
+    edges = graph(5, 60, 400)
+    near = {v: {x for e in edges if v in e for x in e if x != v} for e in edges for v in e}
+    want, k = {}, 0
+    while near:
+        low = [v for v in near if len(near[v]) <= k]
+        k += not low
+        for v in low:
+            want[v] = k
+            for x in near.pop(v):
+                if x in near:
+                    near[x].discard(v)
+    got = cores.core_numbers(source.canonical(spark.createDataFrame(sorted(edges), "src bigint, dst bigint")))
+    assert {r["id"]: r["core"] for r in got.collect()} == want and len(set(want.values())) >= 3
+
+
+@pytest.mark.parametrize("part_edges", [40, 10_000])
+def test_trusses_of_parts(spark, monkeypatch, part_edges):
+    monkeypatch.setattr(peeling, "PART_EDGES", part_edges)
+    edges = graph(3, 40, 250)
+    levels, left, s = {}, set(edges), 0
+    support = lambda some: Counter(p for t in brute(some) for p in itertools.combinations(t, 2))
+    while left:
+        n = support(left)
+        if low := {e for e in left if n[e] <= s}:
+            levels.update(dict.fromkeys(low, s))
+            left -= low
+        else:
+            s += 1
+    e = source.canonical(spark.createDataFrame(sorted(edges), "src bigint, dst bigint"))
+    got = {(r["src"], r["dst"]): r["level"] for r in trusses.truss_levels(e).collect()}
+    assert got == {e: s for e, s in levels.items() if s} and len(set(got.values())) > 2
+    four_ = {e for e, s in levels.items() if s >= 2}
+    n = support(four_)
+    assert {(r["src"], r["dst"]): r["support"] for r in trusses.k_truss(e, 4).collect()} == {e: n[e] for e in four_}
