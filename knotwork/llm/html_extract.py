@@ -42,14 +42,13 @@ TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt".split())
 MAIN_WORDS = re.compile(r"(?:^|[-_\s])(?:article|post|entry|story|main|content|body)(?:$|[-_\s\d])")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: Pages of a host on which a text must stand to be its template's, and texts counted for a place of a task's pages. What
-#: stands in a place on each page isn't missed unless some ten others a page stand there too.
-TEMPLATE_PAGES, TEXTS = 3, 16
+#: Pages of a host on which a text must stand to be its template's.
+TEMPLATE_PAGES = 3
 #: Elements that may be a box of the template within an article; a paragraph or heading is not.
 BOXES = frozenset("div section ul ol dl table figure details center".split())
 #: Modulus and bases of the hashes of paths and texts.
 PRIME, TEXT_BASE, PATH_BASE = (1 << 61) - 1, 0x1B873593CC9E2D51, 0x165667B19E3779F9
-#: Places that a task holds before it sends them on.
+#: Places and texts of them that a task holds before it sends them on.
 PLACES = 200_000
 
 
@@ -214,7 +213,7 @@ def places(page: str) -> dict[int, list]:
 
 class Place:
     """A place of a wrapper over some pages: how many have it, how many once, how often at most, its text's length, and
-    counts of texts that stand there on many pages, with the least and greatest hash of these pages."""
+    counts of all texts that stand there, with the least and greatest hash of their pages."""
 
     __slots__ = ("box", "length", "most", "once", "pages", "rank", "texts", "within")
 
@@ -233,12 +232,8 @@ class Place:
                 t = self.texts[text]
                 t[0] += 1
                 t[1], t[2] = min(t[1], content), max(t[2], content)
-            elif len(self.texts) < TEXTS:
+            else:
                 self.texts[text] = [1, content, content, size]
-            else:  # all are counted down: what is on many pages stays
-                for t in self.texts.values():
-                    t[0] -= 1
-                self.texts = {k: t for k, t in self.texts.items() if t[0]}
 
 
 def wrapper(pages: Iterable[str]) -> dict[int, Place]:
@@ -253,12 +248,16 @@ def wrapper(pages: Iterable[str]) -> dict[int, Place]:
     return out
 
 
-def aligned(into: dict[int, Place], page: str, content: int) -> None:
-    """Aligns a page with a wrapper: what both have is matched by path, the rest becomes optional."""
+def aligned(into: dict[int, Place], page: str, content: int) -> int:
+    """Aligns a page with a wrapper: what both have is matched by path, the rest becomes optional. How many places and
+    texts the page has."""
+    held = 0
     for path, (times, texts, length, *about) in places(page).items():
         if path not in into:
             into[path] = Place(*about)
         into[path].add(times, texts, length, content)
+        held += 1 + len(texts)
+    return held
 
 
 PLACE = "host string, path bigint, pages bigint, once bigint, most bigint, length bigint, rank int, within boolean, box boolean, texts array<struct<text:bigint,pages:bigint,lo:bigint,hi:bigint,length:bigint>>"
@@ -269,6 +268,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The places of the wrappers of a task's pages, host by host."""
     hosts: dict[str, dict[int, Place]] = {}
     seen: set[tuple[str, int]] = set()
+    held = 0
     texts = pa.list_(pa.struct([(n, pa.int64()) for n in ("text", "pages", "lo", "hi", "length")]))
     kinds = (pa.string(), *[pa.int64()] * 5, pa.int32(), pa.bool_(), pa.bool_(), texts)
 
@@ -285,10 +285,10 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             content = long_hash(page)
             if (host, content) not in seen:
                 seen.add((host, content))
-                aligned(hosts.setdefault(host, {}), page, content)
-        if sum(map(len, hosts.values())) > PLACES:
-            yield batch()
-            hosts = {}
+                held += aligned(hosts.setdefault(host, {}), page, content)
+                if held > PLACES:
+                    yield batch()
+                    hosts, held = {}, 0
     if hosts:
         yield batch()
 

@@ -82,6 +82,13 @@ def test_wrapper_has_optional_and_repeated_groups():
     assert merged(pages[0], pages[0])["/body/div"].pages == 1
 
 
+def test_a_place_counts_all_its_texts():
+    """However many other texts stand in the place on each page, that of the template isn't missed."""
+    pages = ["<body><div>fixed</div>" + "".join(f"<div>text {i} {k}</div>" for k in range(40)) + "</body>" for i in range(9)]
+    texts = [t for p in html_extract.wrapper(pages).values() for t in p.texts.values()]
+    assert max(t[0] for t in texts) == 9 and len(texts) >= 1 + 9 * 40
+
+
 def test_the_wrapper_tells_template_from_content(spark):
     """Hosts of plain elements, where no label says what is main: the wrapper alone drops the menus and footers."""
 
