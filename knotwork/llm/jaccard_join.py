@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,6 +171,8 @@ def _keys(frequent: Broadcast, n_buckets: int, clashes: frozenset[int]):
 KEYS = "bucket int, keys binary, sigs binary, hot binary, key bigint, members array<bigint>"
 #: Pairs (a: the first set that has a key, b: another); ``key`` where b stands for a list; rows with ``members`` are lists.
 GROUPS = "a bigint, b bigint, key bigint, members array<bigint>"
+#: The same with the pairs without a key packed, by ``part``; and keys of the input for each part.
+PACKED_GROUPS, PART_KEYS = f"{GROUPS}, part int, pairs binary", 16 << 20
 
 
 def packed(bucket, short) -> int:
@@ -200,6 +203,34 @@ def _groups(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(a), pa.array(b), key, pa.nulls(len(a), pa.list_(pa.int64()))], names=["a", "b", "key", "members"])
 
 
+def _packed_groups(n_parts: int):
+    """``_groups`` with its plain pairs packed. Near copies share many keys and so are a pair of many buckets; packed, that
+    is no row each time."""
+
+    def run(t: pa.Table) -> pa.Table:
+        g = _groups(t)
+        plain = pa.compute.and_(g.column("key").is_null(), g.column("members").is_null())
+        rest, some = g.filter(pa.compute.invert(plain)), g.filter(plain)
+        a, b = some.column("a").to_numpy(), some.column("b").to_numpy()
+        # by both sets, so that a set with many others is no part by itself
+        part = (mix(mix(a.astype(np.uint64)) ^ b.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        pairs, at = np.stack([a, b], 1)[order], np.searchsorted(part[order], np.arange(n_parts + 1))
+        packs = [(p, pairs[i:j].tobytes()) for p, i, j in zip(range(n_parts), at, at[1:]) if i < j]
+        none = len(packs)
+        columns = [pa.chunked_array([pa.nulls(none, c.type), *c.chunks]) for c in rest.columns]
+        columns += [pa.array([x[i] for x in packs] + [None] * len(rest), t) for i, t in enumerate((pa.int32(), pa.binary()))]
+        return pa.table(columns, names=[*rest.column_names, "part", "pairs"])
+
+    return run
+
+
+def _pairs(t: pa.Table) -> pa.Table:
+    """The distinct pairs of a part."""
+    pairs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in t.column("pairs").to_pylist()]), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
 @tidy
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sizes and sketches allow a link."""
@@ -325,8 +356,9 @@ def _named(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     total = ids.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_KEYS)))
     keys = own.mapInArrow(_keys(spark.sparkContext.broadcast(frequent.tobytes()), n_buckets, clashes), KEYS)
-    groups = written(keys.groupBy("bucket").applyInArrow(_groups, GROUPS), "key-groups")
-    pairs = groups.filter("b is not null").select("a", "b")
+    groups = written(keys.groupBy("bucket").applyInArrow(_packed_groups(max(1, -(-total // PART_KEYS))), PACKED_GROUPS), "key-groups")
+    pairs = groups.filter("part is not null").select("part", "pairs").groupBy("part").applyInArrow(_pairs, "a bigint, b bigint")
+    pairs = pairs.unionByName(groups.filter("b is not null").select("a", "b"))
     lists = groups.filter("members is not null").select(F.col("a").alias("b"), "key", "members")
     listed = groups.filter("b is not null and key is not null").select("a", "b", "key").join(lists, ["b", "key"]).select("a", F.explode("members").alias("b"))
     stars = written(pairs.unionByName(listed).filter("a <> b").distinct(), "stars")

@@ -173,6 +173,21 @@ def test_frequent_keys_go_past_the_reducer(monkeypatch):
     assert frequent_key == len(sets)
 
 
+def test_a_pair_of_many_buckets_is_one_row():
+    """Three near copies with 400 keys in 40 buckets: a bucket gives a row for each part, all of them give each pair once."""
+    pa, rows_ = jaccard_join.pa, []
+    for bucket in range(40):
+        keys = np.repeat(np.arange(10, dtype=np.uint32), 3)
+        t = {"bucket": [bucket], "keys": [keys.tobytes()], "sigs": [np.tile(np.array([-5, 7, 9]), 10).tobytes()], "hot": [np.zeros(0, np.int32).tobytes()], "key": [None], "members": [None]}
+        kinds = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sigs", pa.binary()), ("hot", pa.binary()), ("key", pa.int64()), ("members", pa.list_(pa.int64()))])
+        rows_ += jaccard_join._packed_groups(3)(pa.Table.from_pydict(t, kinds)).to_pylist()
+    assert len(rows_) <= 40 * 2 and all(r["b"] is None for r in rows_)
+    got = []
+    for part in {r["part"] for r in rows_}:
+        got += [(r["a"], r["b"]) for r in jaccard_join._pairs(pa.table({"pairs": [r["pairs"] for r in rows_ if r["part"] == part]})).to_pylist()]
+    assert sorted(got) == [(-5, 7), (-5, 9)]
+
+
 def test_a_large_group_is_compared_in_blocks(spark, monkeypatch):
     """Many documents under one passage, a few of them near copies, give in blocks what brute force gives."""
     passage = prose(4, 12)
