@@ -140,3 +140,27 @@ def test_power_partitions_spread_over_twenty_hops_and_to_further_components(spar
 def test_scalars(spark):
     r = spark.createDataFrame([(7, 3, 5)], "a bigint, b bigint, c bigint").select(packed(F.col("a"), F.col("b")).alias("p"), sorted_three(*map(F.col, "abc")).alias("s")).select("*", unpacked(F.col("p")).alias("u")).first()
     assert (r["p"], r["s"], tuple(r["u"])) == ((3 << 32) | 7, [3, 5, 7], (3, 7))
+
+
+def test_a_star_s_matches_are_rows_once(spark):
+    """Against brute force, with repeated labels, several labels of a vertex, ids below 0 and vertices without a label."""
+    from itertools import combinations, permutations
+    from random import Random
+
+    from knotwork.operators import patterns
+    from knotwork.plans.patterns import SAMPLES, slices
+
+    r = Random(3)
+    e = sorted({p for p in combinations(range(-4, 12), 2) if r.random() < 0.6})
+    labels = [(i, "ABCDE"[i % 5]) for i in range(-4, 11)] + [(2, "C"), (3, "A"), (5, "A")]
+    of = {i: {x for v, x in labels if v == i} or {"_"} for i in range(-4, 12)}
+    near = {i: {b if a == i else a for a, b in e if i in (a, b)} for i in of}
+    after = {(a, b) for a in of for b in near[a] if (len(near[a]), a) < (len(near[b]), b)}
+    for name in ("q2", "q3", "q5"):
+        q = SAMPLES[name]
+        s = slices(q)[0]
+        at = (s.anchor, *s.higher)
+        fits = lambda m, q=q: all(q.labels[v] in of[x] and len(near[x]) >= q.degree(v) for v, x in m.items())
+        want = [m for x in permutations(of, len(at)) if fits(m := dict(zip(at, x))) and all((x[0], y) in after for y in x[1:]) and all(m[b] in near[m[a]] for a, b in s.pairs)]
+        got = patterns.slice_matches(spark.createDataFrame(e, "src long, dst long"), spark.createDataFrame(labels, "id long, label string"), q, s)
+        assert sorted(map(tuple, got.select(*(f"v{v}" for v in at)).collect())) == sorted(tuple(m[v] for v in at) for m in want)
