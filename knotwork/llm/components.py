@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -17,9 +17,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star links each larger neighbour to the smallest neighbour, small-star each smaller one; both keep the
     components, and alternate until only stars are left, a logarithmic number of rounds. Every round is written to
-    the shared folder. Self-links and repeated links don't matter. No links: no rows.
+    the shared folder, and the one before deleted. Self-links and repeated links don't matter. No links: no rows.
     """
-    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    own, n = Scratch(links.sparkSession), 0
+    edges = own.write(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"links-{n}")
     before = None
     while before != (now := _digest(edges)):
         before = now
@@ -28,5 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         joined = edges.join(least, "a")
-        edges = written(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
+        n += 1
+        edges = own.write(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), f"links-{n}")
+        own.delete(f"links-{n - 1}")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

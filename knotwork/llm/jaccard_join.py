@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import Scratch, texts
 from .components import components
 from .memory import tidy
 from .shingles import MASK, mix, other_signature, shingle_sets, signature
@@ -314,18 +314,20 @@ def _filter_bits(sigs: DataFrame) -> bytes:
 
 def _links(pairs: DataFrame, ids: DataFrame, docs: DataFrame, clashes: frozenset[int]) -> DataFrame:
     """The pairs (a, b) of signatures that are linked, verified on whole sets."""
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, Scratch(docs.sparkSession)
     side = lambda x: ids.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
-    near = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_near, "a bigint, b bigint, nb bigint"), "near")
-    sigs = written(near.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "candidates")
+    near = tables.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_near, "a bigint, b bigint, nb bigint"), "near")
+    sigs = tables.write(near.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "candidates")
     bits = spark.sparkContext.broadcast(_filter_bits(sigs))
-    sets = written(docs.mapInArrow(_wanted(bits, clashes), "sig bigint, shingles binary").dropDuplicates(["sig"]), "sets")
+    sets = tables.write(docs.mapInArrow(_wanted(bits, clashes), "sig bigint, shingles binary").dropDuplicates(["sig"]), "sets")
     # a leader's set is copied once for each SALT_BYTES of the sets it is held against
     many = near.groupBy("a").agg(F.ceil(F.sum(F.col("nb") * 8) / F.lit(SALT_BYTES)).cast("int").alias("copies"))
     pair = near.join(many, "a").select(F.col("a").alias("leader"), F.col("b").alias("sig"), F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"))
     own = many.select(F.col("a").alias("leader"), F.col("a").alias("sig"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     asked = pair.unionByName(own).join(sets, "sig")
-    return written(asked.groupBy("leader", "salt").applyInArrow(_verify, "a bigint, b bigint"), "verified")
+    links = tables.write(asked.groupBy("leader", "salt").applyInArrow(_verify, "a bigint, b bigint"), "verified")
+    tables.delete("near", "candidates", "sets")
+    return links
 
 
 #: Rows of a table up to which it is broadcast; beyond, both sides are shuffled.
@@ -339,9 +341,9 @@ def _few(df: DataFrame) -> DataFrame:
 def _named(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     """``doc_id, n, sig, root, component_id`` of each row of ``docs``, and the signatures that unequal sets share: of
     rows with shingles the signature of their set and the least one reachable by links."""
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, Scratch(docs.sparkSession)
     own = texts(docs)
-    scanned = written(own.mapInArrow(_ids, "doc_id bigint, n bigint, sig bigint, other bigint, sketch binary, block int, counts binary"), "shingle-ids")
+    scanned = tables.write(own.mapInArrow(_ids, "doc_id bigint, n bigint, sig bigint, other bigint, sketch binary, block int, counts binary"), "shingle-ids")
     rows = scanned.filter("block is null")
     # sets are told apart by both signatures; that some share one is a matter of chance, so there are few
     shared = rows.filter("n > 0").groupBy("sig").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi")
@@ -349,31 +351,34 @@ def _named(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     if clashes:
         rows = rows.withColumn("sig", F.when(F.col("sig").isin(*clashes), F.col("other")).otherwise(F.col("sig")))
     ids = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    ids = written(ids, "sets-ids")
+    ids = tables.write(ids, "sets-ids")
     frequent = np.zeros((BLOCKS, WIDTH // BLOCKS // 8), np.uint8)
     for r in scanned.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(_frequent, "block int, bits binary").collect():
         frequent[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     total = ids.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_KEYS)))
     keys = own.mapInArrow(_keys(spark.sparkContext.broadcast(frequent.tobytes()), n_buckets, clashes), KEYS)
-    groups = written(keys.groupBy("bucket").applyInArrow(_packed_groups(max(1, -(-total // PART_KEYS))), PACKED_GROUPS), "key-groups")
+    groups = tables.write(keys.groupBy("bucket").applyInArrow(_packed_groups(max(1, -(-total // PART_KEYS))), PACKED_GROUPS), "key-groups")
     pairs = groups.filter("part is not null").select("part", "pairs").groupBy("part").applyInArrow(_pairs, "a bigint, b bigint")
     pairs = pairs.unionByName(groups.filter("b is not null").select("a", "b"))
     lists = groups.filter("members is not null").select(F.col("a").alias("b"), "key", "members")
     listed = groups.filter("b is not null and key is not null").select("a", "b", "key").join(lists, ["b", "key"]).select("a", F.explode("members").alias("b"))
-    stars = written(pairs.unionByName(listed).filter("a <> b").distinct(), "stars")
+    stars = tables.write(pairs.unionByName(listed).filter("a <> b").distinct(), "stars")
+    tables.delete("key-groups")
     first_links = _links(stars, ids, own, clashes)
-    roots = written(components(first_links), "roots")
+    roots = tables.write(components(first_links), "roots")
     # near copies share many keys, and mostly the first member: all groups of one first member are gone through once
-    rooted = written(stars.select(F.col("a").alias("first"), F.col("b").alias("sig")).join(roots.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "rooted")
-    open_ = written(rooted.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("first", F.ceil(F.col("sets") / F.greatest(F.lit(BLOCK_SETS[0]), F.least(F.lit(BLOCK_SETS[1]), F.col("sets") / 8))).cast("int").alias("blocks")), "open")
+    rooted = tables.write(stars.select(F.col("a").alias("first"), F.col("b").alias("sig")).join(roots.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "rooted")
+    tables.delete("stars", "roots")
+    open_ = tables.write(rooted.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("first", F.ceil(F.col("sets") / F.greatest(F.lit(BLOCK_SETS[0]), F.least(F.lit(BLOCK_SETS[1]), F.col("sets") / 8))).cast("int").alias("blocks")), "open")
     # a large group is compared by pairs of blocks, each a task's group of its own
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     across = rooted.join(_few(open_), "first").withColumn("block", block).join(ids.select("sig", "n", "sketch"), "sig")
     across = across.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n", "root", "sketch")
-    found = written(across.groupBy("first", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
+    found = tables.write(across.groupBy("first", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
+    tables.delete("rooted", "open")
     links = first_links.unionByName(_links(found, ids, own, clashes)) if not found.isEmpty() else first_links
-    final = written(components(links), "roots")
+    final = tables.write(components(links), "roots")
     named = ids.select("sig", "first").join(final.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select("sig", "root", "component_id")
@@ -412,18 +417,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     smallest signature of its shingles; rows without doc_id come last. All columns are kept. Rows without shingles
     stay. Rows are told apart by their texts, so other texts of a doc_id that is dropped or kept don't share its fate;
     of rows equal in doc_id and shingles one stays. No rows: no rows."""
+    tables = Scratch(docs.sparkSession)
     found, clashes = _named(docs)
-    found = written(found.filter("n > 0"), "components")
+    found = tables.write(found.filter("n > 0"), "components")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig")).alias("best")).select("root", F.col("best.doc_id").alias("best_id"), F.col("best.sig").alias("best_sig"))
     # by row and not by component, so that a large one is no hot key
     wins = best.select("best_id", "best_sig").distinct()
     marked = found.join(wins, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("sig") == F.col("best_sig")), "left")
-    marked = written(marked.select("doc_id", "sig", F.col("best_sig").isNotNull().alias("stays")), "marked")
+    marked = tables.write(marked.select("doc_id", "sig", F.col("best_sig").isNotNull().alias("stays")), "marked")
+    tables.delete("components")
     own = F.col("doc_id").cast("long")
     # ids of one row are enough to tell it; rows that share an id, or have none, are told apart by signature
     again = texts(docs).groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
-    again = written(again, "shared-ids")
-    drop = written(marked.filter("not stays").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    again = tables.write(again, "shared-ids")
+    drop = tables.write(marked.filter("not stays").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
     some = not again.isEmpty()
     single = docs.join(_few(again), own.eqNullSafe(F.col("_id")), "left_anti") if some else docs
     kept = single.join(_few(drop), own.eqNullSafe(F.col("_id")), "left_anti")

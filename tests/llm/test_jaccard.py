@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -210,3 +211,14 @@ def test_one_of_each_acts_on_rows(spark):
     docs = [(1, a), (2, a), (2, b), (2, c), (3, b), (4, None), (4, ""), (5, c), (5, c), (None, a), (None, prose(9, 40)), (None, prose(9, 40)), (6, prose(8, 40))]
     got = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(table(spark, docs)).collect()), key=repr)
     assert got == sorted([(1, a), (2, b), (2, c), (4, None), (4, ""), (None, prose(9, 40)), (6, prose(8, 40))], key=repr)
+
+
+def test_only_tables_still_read_stay(spark):
+    """Of the intermediate tables of a run those that nothing reads any more go."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir())
+    docs = [(i, f"{prose(i % 5, 40)} {i % 3}") for i in range(40)]
+    found = jaccard_join.jaccard_components(table(spark, docs))
+    left = {p.name.rsplit("-", 1)[0].removeprefix("knotwork-") for p in set(folder.iterdir()) - before}
+    assert left and not left & {"key-groups", "near", "candidates", "sets", "stars", "rooted", "open", "links-0"}
+    assert rows(found, "doc_id", "n_shingles", "component_id") == brute(docs)
