@@ -90,3 +90,21 @@ def test_trusses_of_parts(spark, monkeypatch, part_edges):
     four_ = {e for e, s in levels.items() if s >= 2}
     n = support(four_)
     assert {(r["src"], r["dst"]): r["support"] for r in trusses.k_truss(e, 4).collect()} == {e: n[e] for e in four_}
+
+
+@pytest.mark.parametrize(("rows", "least"), [(20, 0), (90, 9), (10_000, 9)])
+def test_orientation_by_parts(spark, rows, least):
+    """Edges lie in parts by their earlier end; they are packed before a shuffle, and no join is needed for degrees."""
+    edges = graph(7, 40, 250)
+    degree = Counter(v for e in edges for v in e)
+    e = source.canonical(spark.createDataFrame(sorted(edges), "src bigint, dst bigint"))
+    own, bounds = listing.oriented_parts(e, rows, least)
+    got = []
+    for r, (part, lo, hi) in zip(sorted(own.collect(), key=lambda r: r["lo"]), bounds):
+        ids, sizes, flat = listing.unpack_lists(r["data"])
+        assert (r["part"], ids[0], ids[-1]) == (part, lo, hi)
+        got += zip(np.repeat(ids, sizes).tolist(), flat.tolist())
+    order = lambda v: (degree[v], v)
+    assert sorted(got) == sorted(tuple(sorted(x, key=order)) for x in edges if min(degree[v] for v in x) >= least)
+    assert len(bounds) > 5 if rows == 20 else bounds
+    assert "Join" not in triangles.triangles(e)._jdf.queryExecution().optimizedPlan().toString()
