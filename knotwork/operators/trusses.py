@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import iterate, written
 from .cores import k_core
+from .incidence import relisted
 from .peeling import peeled
 from .triangles import edge_support, triangle_edges, triangles
 
@@ -34,13 +35,10 @@ def k_truss(edges: DataFrame, k: int, core_rounds: int | None = 1, max_iter: int
         raise ValueError("a k-truss is defined for k >= 3 here")
     if method == "triangles" and max_iter is None and core_rounds in (0, 1):
         return peeled(edges, k - 2, k - 2, core_rounds * (k - 1)).filter("level < 0").select("src", "dst", "support")
-    e = k_core(edges, k - 1, core_rounds)
     if method == "relist":
-
-        def round_(x: DataFrame) -> DataFrame:
-            return edge_support(triangles(x)).filter(F.col("support") >= k - 2).select("src", "dst")
-
-        return edge_support(triangles(iterate(e, round_, _stable, max_iter)))
+        few = core_rounds in (0, 1)
+        return relisted(edges if few else k_core(edges, k - 1, core_rounds), k - 2, core_rounds * (k - 1) if few else 0, max_iter)
+    e = k_core(edges, k - 1, core_rounds)
     if max_iter is None:
         return peeled(e, k - 2, k - 2).filter("level < 0").select("src", "dst", "support")
     return edge_support(iterate(triangles(e), lambda t: _pruned(t, k - 2), _stable, max_iter))

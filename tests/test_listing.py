@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from knotwork.operators import cores, listing, peeling, triangles, trusses
+from knotwork.operators import cores, incidence, listing, peeling, triangles, trusses
 from knotwork.sources import edges as source
 
 
@@ -108,3 +108,30 @@ def test_orientation_by_parts(spark, rows, least):
     assert sorted(got) == sorted(tuple(sorted(x, key=order)) for x in edges if min(degree[v] for v in x) >= least)
     assert len(bounds) > 5 if rows == 20 else bounds
     assert "Join" not in triangles.triangles(e)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("part_edges", [20, 10_000])
+def test_triangles_of_edges_by_parts(spark, monkeypatch, part_edges):
+    """Third vertices and relisted trusses, also where a triangle's edges lie in several parts; no row is a triangle."""
+    monkeypatch.setattr(listing, "PART_EDGES", part_edges)
+    monkeypatch.setattr(incidence, "TOLD", 50)
+    edges = graph(9, 40, 250)
+    want = {}
+    for t in brute(edges):
+        for i in range(3):
+            want.setdefault(tuple(sorted(t[:i] + t[i + 1 :])), []).append(t[i])
+    e = source.canonical(spark.createDataFrame(sorted(edges), "src bigint, dst bigint"))
+    found = incidence.edge_apexes(e)
+    assert sorted(map(tuple, found.collect())) == sorted((*x, len(a), sorted(a)) for x, a in want.items())
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    left = edges
+    while True:
+        n = Counter(x for t in brute(left) for x in itertools.combinations(sorted(t), 2))
+        if left == {x for x in left if n[x] >= 3}:
+            break
+        left = {x for x in left if n[x] >= 3}
+    assert 0 < len(left) < len(edges)
+    for rounds in (0, 1):
+        got = trusses.k_truss(e, 5, core_rounds=rounds, method="relist")
+        assert sorted(map(tuple, got.collect())) == sorted((*x, n[x]) for x in left)
+    assert trusses.k_truss(e, 40, method="relist").collect() == []
