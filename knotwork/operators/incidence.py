@@ -15,7 +15,7 @@ from . import listing
 from .listing import Part, oriented_parts, pack, pack_lists, unpack, unpack_lists, with_answers
 
 #: Triangles of a message's parts, and edges of a batch of results.
-TOLD, BATCH_EDGES = 1 << 20, 50_000
+TOLD, BATCH_EDGES = 1 << 19, 50_000
 
 
 def _told(bounds: list[tuple[int, int, int]], apexes: bool):

@@ -23,7 +23,7 @@ from ..plans.supersteps import PACKED, by_part, packed_rows, rows_of
 #: Edges of a part, wedges that a task closes at once, bits of the table that tells most wedges that nothing closes.
 PART_EDGES, WEDGES, TABLE_BITS = 500_000, 1 << 21, 24
 #: Bytes of packed lists in one row, edges that a task packs at once, ends of edges in the sample for each part.
-ROW_BYTES, PACK_EDGES, SAMPLE = 4 << 20, 2 << 20, 200
+ROW_BYTES, PACK_EDGES, SAMPLE = 4 << 20, 1 << 20, 200
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
