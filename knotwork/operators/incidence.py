@@ -94,7 +94,7 @@ def edge_apexes(edges: DataFrame) -> DataFrame:
 
 
 def _supported(least: int):
-    """The edges of a part in so many triangles at least: lists, supports, and how many others it had in any."""
+    """The edges of a part in so many triangles at least, as lists and their supports."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in itertools.groupby(rows_of(batches), lambda r: r[0]):
