@@ -135,3 +135,41 @@ def test_triangles_of_edges_by_parts(spark, monkeypatch, part_edges):
         got = trusses.k_truss(e, 5, core_rounds=rounds, method="relist")
         assert sorted(map(tuple, got.collect())) == sorted((*x, n[x]) for x in left)
     assert trusses.k_truss(e, 40, method="relist").collect() == []
+
+
+@pytest.mark.parametrize("part_edges", [60, 10_000])
+def test_parts_refine_levels_and_peel_cores(spark, monkeypatch, part_edges):
+    """Levels against peeling, and a truss with the full core by parts; no join, whose rows were triangles or edges."""
+    monkeypatch.setattr(peeling, "PART_EDGES", part_edges)
+    edges = graph(11, 40, 300) | {(a + 1, b + 1) for a, b in itertools.combinations(range(8), 2)} | {(1, -1000 - i) for i in range(9)}
+    levels, left, s = {}, set(edges), 0
+    while left:
+        n = Counter(p for t in brute(left) for p in itertools.combinations(t, 2))
+        if low := {e for e in left if n[e] <= s}:
+            levels.update(dict.fromkeys(low, s))
+            left -= low
+        else:
+            s += 1
+    e = source.canonical(spark.createDataFrame(sorted(edges), "src bigint, dst bigint"))
+    found = trusses.truss_levels(e)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["src"], r["dst"]): r["level"] for r in found.collect()} == {e: s for e, s in levels.items() if s} and max(levels.values()) >= 5
+    some = {e for e, s in levels.items() if s >= 3}
+    n = Counter(p for t in brute(some) for p in itertools.combinations(t, 2))
+    got = trusses.k_truss(e, 5, core_rounds=None)
+    assert sorted(map(tuple, got.collect())) == sorted((*e, n[e]) for e in some)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_triangle_of_a_packed_state_is_three_bytes():
+    """Places within lists instead of places among all edges."""
+    ids, sizes = np.arange(3000), np.full(3000, 30)
+    flat = (np.repeat(ids, 30) + np.tile(np.arange(1, 31), 3000)).astype(np.int64)
+    own = ids[:2970], sizes[:2970], flat[: 2970 * 30]
+    a, b, c = (np.concatenate(x) for x in zip(*peeling.Part(*own).places(*own)))
+    order = np.argsort(a, kind="stable")
+    none = np.zeros(0, np.int64)
+    state = lambda n: peeling.State(own, (none,) * 3, (none,) * 3, none, a[order][:n], b[order][:n], c[order][:n])
+    assert len(a) > 1_000_000 and len(state(len(a)).packed()) - len(state(0).packed()) <= 3 * len(a)
+    again = peeling.State.of(state(len(a)).packed())
+    assert all((x == y[order]).all() for x, y in ((again.a, a), (again.b, b), (again.c, c)))
