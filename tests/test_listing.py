@@ -151,7 +151,7 @@ def test_parts_refine_levels_and_peel_cores(spark, monkeypatch, part_edges):
         else:
             s += 1
     e = source.canonical(spark.createDataFrame(sorted(edges), "src bigint, dst bigint"))
-    found = trusses.truss_levels(e)
+    found = trusses.max_truss(e)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["src"], r["dst"]): r["level"] for r in found.collect()} == {e: s for e, s in levels.items() if s} and max(levels.values()) >= 5
     some = {e for e, s in levels.items() if s >= 3}
