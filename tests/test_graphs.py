@@ -164,3 +164,26 @@ def test_a_star_s_matches_are_rows_once(spark):
         want = [m for x in permutations(of, len(at)) if fits(m := dict(zip(at, x))) and all((x[0], y) in after for y in x[1:]) and all(m[b] in near[m[a]] for a, b in s.pairs)]
         got = patterns.slice_matches(spark.createDataFrame(e, "src long, dst long"), spark.createDataFrame(labels, "id long, label string"), q, s)
         assert sorted(map(tuple, got.select(*(f"v{v}" for v in at)).collect())) == sorted(tuple(m[v] for v in at) for m in want)
+
+
+def test_a_loose_vertex_and_triangles_of_one_label_make_no_wedges(spark):
+    """Counts against brute force; the embeddings of a vertex of one edge, and a triangle's wedges, are no rows."""
+    from itertools import combinations, permutations
+    from random import Random
+
+    from knotwork.plans.patterns import SAMPLES, _sample
+
+    r = Random(5)
+    e = sorted({p for p in combinations(range(-4, 9), 2) if r.random() < 0.5} | {(-1, x) for x in range(20, 30)})
+    f = spark.createDataFrame(e, "src long, dst long")
+    ids = {i for x in e for i in x}
+    for q, of in ((SAMPLES["q2_default"], {}), (SAMPLES["q2"], {i: "ABC"[i % 3] for i in ids}), (_sample("1-2 1-3 2-3 3-4", "AABA"), {i: "AB"[i % 2] for i in ids})):
+        fits = lambda m, q=q, of=of: all(q.labels[v] == of.get(x, "_") for v, x in m.items())
+        linked = set(e) | {x[::-1] for x in e}
+        want = sum(1 for x in permutations(sorted(ids), 3) if (x[0], x[1]) in linked and (x[0], x[2]) in linked and (x[1], x[2]) in linked for y in ids - set(x) if fits(m := dict(zip((1, 2, 3, 4), (*x, y)))) and all((m[a], m[b]) in linked for a, b in q.edges))
+        labels = spark.createDataFrame(list(of.items()), "id long, label string")
+        got = patterns.count_embeddings(f, labels, q)
+        assert got.first()[0] == want > 0
+        if not of:
+            assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert patterns.count_embeddings(f.limit(0), labels, SAMPLES["q2_default"]).first()[0] == 0
