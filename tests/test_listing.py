@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from knotwork.operators import cores, incidence, listing, peeling, triangles, trusses
+from knotwork.operators import cores, incidence, listing, patterns, peeling, stars, triangles, trusses
 from knotwork.sources import edges as source
 
 
@@ -173,3 +173,27 @@ def test_a_triangle_of_a_packed_state_is_three_bytes():
     assert len(a) > 1_000_000 and len(state(len(a)).packed()) - len(state(0).packed()) <= 3 * len(a)
     again = peeling.State.of(state(len(a)).packed())
     assert all((x == y[order]).all() for x, y in ((again.a, a), (again.b, b), (again.c, c)))
+
+
+@pytest.mark.parametrize("part_edges", [60, 10_000])
+def test_stars_by_parts(spark, monkeypatch, part_edges):
+    """Stars against brute force, also of vertices with several labels or none; triangles are rows of no aggregation."""
+    monkeypatch.setattr(listing, "PART_EDGES", part_edges)
+    monkeypatch.setattr(stars, "BATCH_ENTRIES", 40)
+    edges = graph(13, 30, 150)
+    near = {v: {x for e in edges if v in e for x in e if x != v} for e in edges for v in e}
+    of = {v: [["B"], ["A", "Über"], ["_"]][i % 3] for i, v in enumerate(sorted(near))}
+    labels = spark.createDataFrame([(v, x) for v, some in of.items() for x in some if x != "_"], "id bigint, label string")
+    rank = lambda v: (len(near[v]), v)
+    want = []
+    for u in near:
+        later = sorted((v for v in near[u] if rank(v) > rank(u)), key=rank)
+        closing = sorted((min(a, b), max(a, b)) for a, b in itertools.combinations(later, 2) if b in near[a])
+        entries = [(v, x) for v in later for x in of[v]]
+        for label in of[u] if later else []:
+            c = [len(closing), *(sum(v in p for p in closing) for v, _ in entries)]
+            want.append((u, label, len(near[u]), len(closing), len(entries), len(near[later[-1]]), [u, *(v for v, _ in entries)], [label, *(x for _, x in entries)], [len(near[u]), *(len(near[v]) for v, _ in entries)], c, closing))
+    e = source.canonical(spark.createDataFrame(sorted(edges), "src bigint, dst bigint"))
+    found = patterns.star_index(e, labels)
+    assert sorted((*r[:10], [tuple(x) for x in r[10]]) for r in found.collect()) == sorted(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 2  # of the edges and of degrees
