@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from knotwork.operators import cores, incidence, listing, patterns, peeling, stars, triangles, trusses
+from knotwork.plans.supersteps import packed_rows, stepped
 from knotwork.sources import edges as source
 
 
@@ -197,3 +199,36 @@ def test_stars_by_parts(spark, monkeypatch, part_edges):
     found = patterns.star_index(e, labels)
     assert sorted((*r[:10], [tuple(x) for x in r[10]]) for r in found.collect()) == sorted(want)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 2  # of the edges and of degrees
+
+
+@pytest.mark.parametrize("first_state", [lambda n, k: (n[:k], np.zeros(len(n), np.int64)), lambda n, k: (np.concatenate([n[:k], np.full(len(n) - k, peeling.NO_BOUND)]), np.zeros(0, np.int64), np.zeros(0, np.int64))], ids=["peel", "refine"])
+def test_a_full_part_leaves_room_in_an_executor(first_state):
+    """What numpy holds at most while a task lists a full part's triangles and takes a step with them."""
+    n = peeling.PART_EDGES // 6
+    ids, sizes = np.arange(n), np.full(n, 6)
+    flat = np.repeat(ids, 6) + np.tile(np.arange(1, 7), n)
+    row = packed_rows([(0, 0, 0, n - 1, listing.pack_lists(ids, sizes, flat))])
+    step = peeling._refine if len(first_state(np.zeros(1), 1)) == 3 else peeling._peel(3)
+    tracemalloc.start()
+    try:
+        (state,) = [b for b in peeling._triangles([(0, 0, n - 1)], first_state)(iter([row]))]
+        (after,) = stepped(step)(iter([state]))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert len(peeling.State.of(after.column("data")[0].as_py()).own[2]) == 6 * n
+    assert peak < 300
+
+
+def test_parts_without_messages_rest():
+    """After the first step a part that hears nothing keeps its state, unread."""
+    rows = packed_rows([(0, 0, 0, 0, b"a"), (1, 0, 0, 0, b"b"), (1, 1, 0, 0, b"m"), (2, 0, 0, 0, b"c")])
+    seen = []
+
+    def step(part, state, got):
+        seen.append((part, state, [m for _, m in got]))
+        yield part, 0, 0, 0, b"new"
+
+    states = lambda idle: [(r["part"], r["data"]) for b in stepped(step, idle)(iter([rows])) for r in b.to_pylist()]
+    assert states(True) == [(0, b"a"), (1, b"new"), (2, b"c")] and seen == [(1, b"b", [b"m"])]
+    assert states(False) == [(p, b"new") for p in range(3)]
