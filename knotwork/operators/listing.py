@@ -205,7 +205,7 @@ def lists_of(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return *np.unique(src, return_counts=True), dst
 
 
-def _split(cuts: np.ndarray):
+def split(cuts: np.ndarray):
     """Both directions of edges, packed for each part; parts are the ranges between cuts."""
 
     def packs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -313,18 +313,23 @@ def _oriented(least: int):
     return run
 
 
-def oriented_parts(edges: DataFrame, rows: int, least: int = 0, kept: Generations | None = None, core: bool = False) -> tuple[DataFrame, list[tuple[int, int, int]]]:
-    """As ``parts`` of canonical edges from the earlier end by degree to the later, without edges of vertices of lower degree
-    than ``least``; ``core``: of the ``least``-core, by the degrees in it. Parts get their vertices' neighbours packed and tell each other degrees, so edges are no rows of a
-    shuffle."""
-    workers(edges.sparkSession)
+def cuts_of(edges: DataFrame, rows: int) -> tuple[int, np.ndarray]:
+    """How many parts of about so many edges there are, and the ids between their ranges."""
     count = edges.count()
     n = max(1, -(-count // rows))
     # only the parts' sizes depend on the sample
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).sample(min(1.0, SAMPLE * n / max(1, 2 * count)), 0) if n > 1 else None
     some = np.sort(np.array([r["id"] for r in ends.collect()], np.int64)) if ends is not None else np.zeros(0, np.int64)
-    cuts = np.unique(some[np.arange(1, n) * len(some) // n]) if len(some) else some
-    packed = edges.select("src", "dst").mapInArrow(_split(cuts), PACKED)
+    return n, np.unique(some[np.arange(1, n) * len(some) // n]) if len(some) else some
+
+
+def oriented_parts(edges: DataFrame, rows: int, least: int = 0, kept: Generations | None = None, core: bool = False) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """As ``parts`` of canonical edges from the earlier end by degree to the later, without edges of vertices of lower degree
+    than ``least``; ``core``: of the ``least``-core, by the degrees in it. Parts get their vertices' neighbours packed and tell each other degrees, so edges are no rows of a
+    shuffle."""
+    workers(edges.sparkSession)
+    n, cuts = cuts_of(edges, rows)
+    packed = edges.select("src", "dst").mapInArrow(split(cuts), PACKED)
     kept = kept or Generations(edges.sparkSession)
     told = by_part(packed, n).mapInArrow(_gathered(cuts, not core), PACKED)
     if core:

@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from knotwork.operators import cores, incidence, listing, patterns, peeling, stars, triangles, trusses
+from knotwork.operators import cores, incidence, linked, listing, patterns, peeling, stars, triangles, trusses
+from knotwork.plans.patterns import SAMPLES
 from knotwork.plans.supersteps import packed_rows, stepped
 from knotwork.sources import edges as source
 
@@ -232,3 +233,23 @@ def test_parts_without_messages_rest():
     states = lambda idle: [(r["part"], r["data"]) for b in stepped(step, idle)(iter([rows])) for r in b.to_pylist()]
     assert states(True) == [(0, b"a"), (1, b"new"), (2, b"c")] and seen == [(1, b"b", [b"m"])]
     assert states(False) == [(p, b"new") for p in range(3)]
+
+
+@pytest.mark.parametrize(("part_edges", "entries"), [(40, 1), (100_000, 100), (100_000, 1 << 19)])
+def test_linked_triangles_by_parts(spark, monkeypatch, part_edges, entries):
+    """As many as the joins find, also where third vertices meet or lie in other parts; no path is a row."""
+    monkeypatch.setattr(linked, "PART_EDGES", part_edges)
+    monkeypatch.setattr(linked, "ENTRIES", entries)
+    edges = graph(17, 30, 260)
+    of = {v: "AABCDE"[i % 6] for i, v in enumerate(sorted({x for e in edges for x in e}))}
+    labels = spark.createDataFrame(list(of.items()), "id bigint, label string")
+    near = {v: {x for e in edges if v in e for x in e if x != v} for v in of}
+    like = lambda label, *ends: [v for v in of if of[v] == label and all(v in near[x] for x in ends)]
+    want = sum(p != a and p != q for b in like("B") for c in like("C", b) for a in like("A", c) for d in like("D", a, b) for p in like("A", b, c) for q in like("A", a, d))
+    e = source.canonical(spark.createDataFrame(sorted(edges), "src bigint, dst bigint"))
+    q5 = SAMPLES["q5"]
+    found = patterns.count_embeddings(e, labels, q5)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.collect() == [(want,)] and want > 50
+    none = patterns.count_embeddings(e, labels.filter("label <> 'D'"), q5)
+    assert none.collect() == [(0,)]
